@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "tokencount", "urlfilter", "chat")
+MODULES = ("knn", "bpe", "tokencount", "urlfilter", "chat")
 
 
 def queries() -> dict:
