@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("knn", "bpe", "tokencount", "urlfilter", "chat", "htmlmain")
+MODULES = ("knn", "bpe", "tokencount", "urlfilter", "chat", "htmlmain", "substring")
 
 
 def queries() -> dict:
