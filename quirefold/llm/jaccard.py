@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
-from quirefold.llm.common import read, shuffle_width, store
+from quirefold.llm.common import read, shuffle_width, small_batches, store
 from quirefold.llm.components import components
 from quirefold.llm.words import Words, batches_of, mix, span_hash
 
@@ -282,7 +282,7 @@ ENTRY = "range int, names binary, entries binary"
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, range_entries: int = RANGE_ENTRIES, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     width = shuffle_width(spark)
     texts = docs.select(F.col(text_col).alias("t"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
-from quirefold.llm.common import read, shuffle_width, store
+from quirefold.llm.common import read, shuffle_width, small_batches, store
 from quirefold.llm.words import Words, batches_of, mix, sliding_argmin, span_hash
 
 #: Words of a window, and of the grams that anchor it.
@@ -108,7 +108,7 @@ def parse(match: list[int], width: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, salt_at: int = SALT_AT, block_words: int = BLOCK_WORDS, range_windows: int = RANGE_WINDOWS) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     texts = docs.select(*_row_keys(docs, id_col, text_col), F.col(text_col).alias("t"))
 
@@ -214,7 +214,7 @@ def _joined(w: Words, keep: np.ndarray) -> list[bytes]:
     if len(i):
         take[w.start[i]] += 1
         take[w.end[i]] -= 1
-    take = np.cumsum(take)[:-1].astype(bool)
+    take = np.cumsum(take, dtype=np.int8)[:-1].astype(bool)
     if len(i):
         doc = np.searchsorted(w.offset, i, "right")
         gap = w.end[i[:-1]][doc[:-1] == doc[1:]]  # the byte after a word that another one follows

@@ -96,7 +96,7 @@ def sliding_argmin(g: np.ndarray, w: int) -> np.ndarray:
     return best
 
 
-def batches_of(batch: pa.RecordBatch, text_col: int, most_bytes: int = 4 << 20):
+def batches_of(batch: pa.RecordBatch, text_col: int, most_bytes: int = 1 << 20):
     """Slices of a record batch whose texts hold about ``most_bytes`` together; one long text is a slice of its own."""
     col = batch.column(text_col)
     size = np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]).astype(np.int64) if len(col) else np.zeros(0, np.int64)
