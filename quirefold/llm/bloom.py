@@ -50,3 +50,26 @@ def test(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
     for i in range(8):
         ok &= (block[:, i] >> ((h >> np.uint64(16 + 6 * i)) & np.uint64(63))) & np.uint64(1) == 1
     return ok
+
+
+def probe(rows: DataFrame, h: Column, keys: DataFrame, key: str, n_keys: int, into: str) -> DataFrame:
+    """``rows`` with a boolean column: whether ``keys`` may hold the hash. The filter sent to all has at most MAX_BLOCKS rows."""
+    blocks = n_blocks(n_keys)
+    filter_ = build(keys, F.col(key), blocks).select(F.struct("bloom_block", *[f"w{i}" for i in range(8)]).alias("__bloom"))
+    block, bits = place(h, blocks)
+    joined = rows.withColumn("__place", F.struct(block.alias("block"), bits.alias("bits"))).join(F.broadcast(filter_), F.col("__place.block") == F.col("__bloom.bloom_block"), "left")
+    hit = F.lit(True)
+    for i in range(8):
+        hit &= F.coalesce(F.col(f"__bloom.w{i}").bitwiseAND(F.col("__place.bits")[i]) == F.col("__place.bits")[i], F.lit(False))
+    return joined.withColumn(into, hit).drop("__place", "__bloom")
+
+
+def drop_keys(rows: DataFrame, h: Column, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose hash is not in ``keys``. Only rows that the filter lets through are shuffled for the exact anti-join."""
+    n = keys.count()
+    if not n:
+        return rows
+    marked = probe(rows, h, keys, key, n, "__maybe")
+    sure = marked.where("not __maybe").drop("__maybe")
+    rest = marked.where("__maybe").withColumn("__key", h).join(keys.select(F.col(key).alias("__key")), "__key", "left_anti").select(*rows.columns)
+    return sure.unionByName(rest)
