@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("knn", "bpe", "tokencount", "urlfilter", "chat", "htmlmain", "substring", "jaccard", "langid")
+MODULES = ("knn", "bpe", "tokencount", "urlfilter", "chat", "htmlmain", "substring", "jaccard", "langid", "decontam")
 
 
 def queries() -> dict:
