@@ -281,7 +281,10 @@ ENTRY = "range int, names binary, entries binary"
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, range_entries: int = RANGE_ENTRIES, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """(id, n_shingles, component_id) of every row of ``docs``."""
+    """(id, key, n_shingles, component_id, component) of every row of ``docs``.
+
+    ``key``: a hash of id and text; ``component``: a name of the component, null for the empty set.
+    """
     spark = small_batches(docs.sparkSession)
     width = shuffle_width(spark)
     texts = docs.select(F.col(text_col).alias("t"))
@@ -290,9 +293,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for b in batches:
             for part in batches_of(b, 1):
                 s = Sets(part.column(1), shingle)
-                yield pa.RecordBatch.from_arrays([part.column(0), _i64(s.n), _i64(s.name)], ["id", "n", "name"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _i64(s.n), _i64(s.name)], ["id", "key", "n", "name"])
 
-    rows = store(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(describe, "id long, n long, name long"), "jaccard-rows")
+    rows = store(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.col(text_col)).alias("key")).mapInArrow(describe, "id long, key long, n long, name long"), "jaccard-rows")
     classes = rows.where("n > 0").groupBy("name").agg(F.min("id").alias("least"), F.first("n").alias("n"))
     n_tokens = int(classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     ranges = max(width, -(-n_tokens * 2 // 5 // range_entries))
@@ -409,9 +412,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # 5. Every row's component: the least id of any class in it.
     labelled = classes.join(comp.withColumnsRenamed({"node": "name"}), "name", "left").withColumn("component", F.coalesce("component", "name"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = labelled.join(smallest, "component").select("name", "component_id")
-    full = rows.where("n > 0").join(by_class, "name").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    by_class = labelled.join(smallest, "component").select("name", "component_id", "component")
+    full = rows.where("n > 0").join(by_class, "name").select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), "component_id", "component")
+    none = F.lit(None).cast("long").alias("component")
+    return full.unionByName(rows.where("n = 0").select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), none))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (a null id last). Rows with the empty set all stay."""
+    found = store(jaccard_components(docs.select(id_col, text_col), id_col, text_col), "jaccard-found")
+    linked_ = found.where("component is not null")
+    first = linked_.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    together = linked_.join(first.select("component", F.col("first.key").alias("chosen")), "component")
+    losers = store(together.where("key <> chosen").select("key").distinct(), "jaccard-losers")
+    again = store(together.where("key = chosen").groupBy("key").count().where("count > 1").select("key"), "jaccard-again")
+    h = F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.col(text_col))
+    left = bloom.drop_keys(docs, h, losers, "key")
+    n = again.count()
+    if not n:
+        return left
+    marked = bloom.probe(left, h, again, "key", n, "__maybe").withColumn("__key", h)
+    sure, rest = marked.where("not __maybe"), marked.where("__maybe")
+    twice = rest.join(again.withColumnRenamed("key", "__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    other = rest.join(again.withColumnRenamed("key", "__key"), "__key", "left_anti")
+    return sure.unionByName(twice).unionByName(other).select(*docs.columns)
 
 
 def _groups(table: pa.Table):
@@ -466,7 +490,7 @@ def _across(large: DataFrame, links: DataFrame, solved, chunk_tokens: int) -> Da
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard}

@@ -8,8 +8,13 @@ MODULES = ("knn", "bpe", "tokencount", "urlfilter", "chat", "htmlmain", "substri
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"quirefold.llm.{m}").QUERIES.items()}
+    import corpus_pipeline
+
+    return {k: f for m in MODULES for k, f in import_module(f"quirefold.llm.{m}").QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in import_module(f"quirefold.llm.{m}").ORACLE_SQL.items()}
+    import corpus_pipeline
+
+    sql = {k: s for m in MODULES for k, s in import_module(f"quirefold.llm.{m}").ORACLE_SQL.items()}
+    return sql if corpus_pipeline.ORACLE_SQL is None else sql | {"pipeline": corpus_pipeline.ORACLE_SQL}
