@@ -335,7 +335,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sets = store(texts.mapInArrow(gather, "name long, n long, tokens binary").join(survivors, "name", "left_semi").dropDuplicates(["name"]), "jaccard-sets")
     total = int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    few = max(width, -(-total // range_entries))
+    few = max(1, -(-total * 2 // range_entries))  # as few as fit: each set answers once for every range it has tokens in
 
     # 3. The rarest tokens of each set.
     def spell(batches):
