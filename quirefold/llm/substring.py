@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
 from quirefold.llm.common import read, shuffle_width, small_batches, store
-from quirefold.llm.words import Words, batches_of, mix, sliding_argmin, span_hash
+from quirefold.llm.words import Words, batches_of, grams, mix, sliding_argmin, span_hash
 
 #: Words of a window, and of the grams that anchor it.
 WIDTH, GRAM = 35, 10
 #: Contexts of one anchor in a block before it is salted; words of a block, hot windows of a range.
-SALT_AT, BLOCK_WORDS, RANGE_WINDOWS = 16_384, 1 << 20, 1 << 21
+SALT_AT, BLOCK_WORDS, RANGE_WINDOWS = 16_384, 1 << 19, 1 << 20
 
 
 class Contexts:
@@ -38,12 +38,12 @@ class Contexts:
         n = np.maximum(size - width + 1, 0)
         doc = np.repeat(np.arange(len(size)), n)
         window = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + w.offset[:-1][doc]
-        grams = w.grams(gram)
-        anchor = sliding_argmin(grams, width - gram + 1)[window] if len(window) else window
+        g = w.grams(gram)
+        anchor = sliding_argmin(g, width - gram + 1)[window] if len(window) else window
         first = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(doc) != 0)])) if len(window) else window
         self.doc, self.start = doc[first], window[first]
         self.n = np.diff(np.append(first, len(window)))
-        self.h = grams[anchor[first]]
+        self.h = g[anchor[first]]
         self.dg = span_hash(w.hash, self.start, self.start + self.n + width - 1)
 
 
@@ -251,11 +251,11 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
     dealt = found.select(F.pmod(F.xxhash64("h", salt), F.lit(blocks)).alias("block"), "k1", "k2", "s", "ctx", (F.col("salts") > 1).alias("hot"), (F.col("c") == 1).alias("alone"))
 
     def factor(table: pa.Table) -> pa.Table:
-        w = Words(table.column("ctx").combine_chunks() if table.num_rows else pa.array([], pa.string()))
-        size = np.diff(w.offset)
+        hashes, size = _hashed(table.select(["ctx"]))
+        offset = np.concatenate([[0], np.cumsum(size)])
         owner = np.repeat(np.arange(len(size)), size)
-        starts = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(w.offset[:-1], w.offset[1:])] or [np.zeros(0, np.int64)]).astype(np.int64)
-        match = matches(w.hash, owner, starts, 64 if width < 64 else 1 << width.bit_length()).tolist()
+        starts = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(offset[:-1], offset[1:])] or [np.zeros(0, np.int64)]).astype(np.int64)
+        match = matches(hashes, owner, starts, 64 if width < 64 else 1 << width.bit_length()).tolist()
         row, s, e, at = [], [], [], 0
         base = table.column("s").to_pylist()
         alone = table.column("alone").to_numpy(zero_copy_only=False).astype(bool) if table.num_rows else np.zeros(0, bool)
@@ -274,10 +274,10 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
             # Windows of salted anchors by their own hash: those repeated here count twice and stand for themselves once.
             o = owner[starts]
             mine = hot[o]
-            h, where, o = w.grams(width)[starts[mine]], starts[mine], o[mine]
+            h, where, o = grams(hashes, width)[starts[mine]], starts[mine], o[mine]
             rec = np.zeros(len(h), _WINDOW)
             rec["h"], rec["k1"], rec["k2"] = h, table.column("k1").to_numpy()[o], table.column("k2").to_numpy()[o]
-            rec["s"] = np.array(base)[o] + where - w.offset[o]
+            rec["s"] = np.array(base)[o] + where - offset[o]
             rec["c"] = np.where(alone[o], 1, 2)
             rec = rec[np.argsort(rec["h"], kind="stable")]
             first = np.flatnonzero(np.concatenate([[True], rec["h"][1:] != rec["h"][:-1]]))
@@ -308,6 +308,17 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
     return factors.where("range is null").select("k1", "k2", "s", "e").unionByName(met)
 
 
+def _hashed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a one-column table of texts, one after another, and how many each text has; made slice by slice."""
+    out, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b in table.to_batches():
+        for part in batches_of(b, 0):
+            w = Words(part.column(0))
+            out.append(w.hash)
+            size.append(np.diff(w.offset))
+    return np.concatenate(out), np.concatenate(size)
+
+
 _WINDOW = np.dtype([("h", np.uint64), ("k1", np.int64), ("k2", np.int64), ("s", np.int32), ("c", np.int32)])
 
 
