@@ -32,10 +32,10 @@ CHUNK_ROWS, BLOCK_QUERIES = 16_384, 8_192
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id, v array<long>): floor(scale * x) of vectors that take part."""
-    floors = F.transform(F.col(vec_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).try_cast("long"))
-    finite = ~F.exists(F.col(vec_col), lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
-    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & finite)
-    return rows.select(F.col(id_col).cast("long").alias("id"), floors.alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    odd = F.exists(F.col(vec_col), lambda x: F.coalesce(F.isnan(x) | (F.abs(scaled(x)) >= 2.0**63), F.lit(True)))
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~odd)
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: F.floor(scaled(x))).alias("v"))
 
 
 def _matrix(col: pa.Array, dims: int | None = None) -> np.ndarray:

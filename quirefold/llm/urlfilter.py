@@ -4,11 +4,11 @@ Listed canonical URLs set bits in a blocked Bloom filter: one 64-bit hash picks
 one in each 64-bit word. The filter's blocks are a small table; a URL meets its own block by key, and only URLs with all
 eight bits set go on to an exact hash join with the list, which removes the false positives. All of it runs in the JVM.
 
-The filter never has more than ``MAX_BLOCKS`` blocks (64 bytes each), so sending it to every executor is bounded; a list
-too long for it raises the share of false positives, which the exact join still removes.
+The filter's size is bounded (see ``bloom``), so sending it to every executor is; a list too long for it raises the share of
+false positives, which the exact join still removes.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed unless its
-canonical form is listed (null never is). Repeated rows are judged each on their own; repeated list entries count once.
+Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule, has no canonical form and is
+allowed. Repeated rows are judged each on their own; repeated list entries count once.
 Columns beside the id and the URL are not read.
 """
 
@@ -19,10 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.llm import bloom
 from quirefold.llm.common import ascii_lower, read
 
-MAX_BLOCKS = 1 << 16
-BITS_A_KEY = 16
 #: Query parameters that never change the page; dropped from canonical URLs.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
 
@@ -58,10 +57,14 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Host without ``www.`` and path without closing slashes, with the query parameters that matter; no scheme, no fragment."""
+    """Host without ``www.`` and path without closing slashes, with the query parameters that matter; no scheme, no fragment.
+
+    Null without a host.
+    """
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&", -1), lambda p: (p != "") & ~p.rlike(f"^{TRACKING}(=|$)"))), "&")
-    return F.concat(F.regexp_replace(host_of(url), r"^www\.", ""), F.regexp_replace(path_of(url), r"/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
+    whole = F.concat(F.regexp_replace(host_of(url), r"^www\.", ""), F.regexp_replace(path_of(url), r"/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
+    return F.when(host_of(url) != "", whole)
 
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -73,48 +76,19 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return best
 
 
-def bloom_place(key: Column, n_blocks: int) -> tuple[Column, Column]:
-    """Block of a key, and its mask in each of the block's eight words."""
-    h = F.xxhash64(key)
-    spread = F.xxhash64(key, F.lit(1))
-    masks = F.array(*[_bit(spread, 6 * i) for i in range(8)])
-    return F.pmod(h, F.lit(n_blocks)), masks
-
-
-def _bit(h: Column, shift: int) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int"))
-
-
-def bloom_blocks(n_keys: int) -> int:
-    return min(MAX_BLOCKS, max(1, -(-n_keys * BITS_A_KEY // 512)))
-
-
-def blocked_bloom(keys: DataFrame, col: str, n_blocks: int) -> DataFrame:
-    """(bloom_block, w0 .. w7) of the distinct values of ``col``; built by partial aggregation."""
-    block, masks = bloom_place(F.col(col), n_blocks)
-    return keys.select(block.alias("bloom_block"), masks.alias("m")).groupBy("bloom_block").agg(*[F.bit_or(F.col("m")[i]).alias(f"w{i}") for i in range(8)])
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", list_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, possible) for every row. ``possible``: the Bloom filter let it through to the exact join."""
     keys = listed.select(canonical(F.col(list_col)).alias("k")).where("k is not null").distinct()
-    n_blocks = bloom_blocks(keys.agg(F.approx_count_distinct("k")).first()[0])
-    bloom = blocked_bloom(keys, "k", n_blocks)  # at most MAX_BLOCKS rows of 72 bytes
-    url = F.col("u")
-    block, masks = bloom_place(F.col("canonical_url"), n_blocks)
+    n_keys = keys.agg(F.approx_count_distinct("k")).first()[0]
+    hashed = keys.select(F.xxhash64("k").alias("h"))
     host, path = F.col("host"), F.col("path")
     rows = (
         pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"))
-        .select("i", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical_url"))
+        .select("i", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), canonical(F.col("u")).alias("k"))
         .withColumn("best", fitting_rule(host, path, rules))
-        .withColumn("bloom_block", block)
-        .withColumn("m", masks)
-        .join(F.broadcast(bloom), "bloom_block", "left")
     )
-    possible = F.lit(True)
-    for i in range(8):
-        possible &= F.coalesce(F.col(f"w{i}").bitwiseAND(F.col("m")[i]) == F.col("m")[i], F.lit(False))
-    rows = rows.select("i", "host", "path", "best", possible.alias("possible"), F.when(possible, F.col("canonical_url")).alias("k"))
+    rows = bloom.probe(rows, F.xxhash64("k"), hashed, "h", n_keys, "possible").withColumn("possible", F.col("possible") & F.col("k").isNotNull())
+    rows = rows.withColumn("k", F.when(F.col("possible"), F.col("k")))
     # Rows the filter stopped have a null key: they skip the exact join, so one key does not gather them.
     through = rows.where("k is not null").join(keys.withColumn("listed", F.lit(True)), "k", "left")
     rest = rows.where("k is null").withColumn("listed", F.lit(None).cast("boolean"))
