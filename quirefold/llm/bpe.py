@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import read
+from quirefold.llm.common import read, small_batches, tidy
 
 #: The byte-level splitting pattern of the vocabulary files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries each worker keeps in its pre-token cache and in its pair table before it starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -38,16 +38,44 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
-class ByteBpe:
-    """Encoder and decoder for one byte-level vocabulary file of the tokenizers library."""
+class Decoder:
+    """The bytes of all tokens of a byte-level vocabulary file, one after another, and an offset table over them."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
+        to_byte = {s: b for b, s in enumerate(byte_symbols())}
+        as_bytes = {t: bytes(to_byte[c] for c in s) for s, t in spec["model"]["vocab"].items()}
+        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        table = [as_bytes.get(i, b"") for i in range(max([*as_bytes, *self.special.values()]) + 1)]
+        for s, t in self.special.items():
+            table[t] = s.encode()
+        self.blob = np.frombuffer(b"".join(table), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in table])])
+        self._read(spec["model"], as_bytes)
+
+    def _read(self, model: dict, as_bytes: dict[int, bytes]) -> None:
+        pass
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Ids outside the vocabulary stand for nothing; invalid UTF-8 becomes U+FFFD."""
+        ids = np.asarray(ids, np.int64)
+        ids = ids[(ids >= 0) & (ids < len(self.offsets) - 1)]
+        start = self.offsets[ids]
+        size = self.offsets[ids + 1] - start
+        total = int(size.sum())
+        if not total:
+            return ""
+        put = np.cumsum(size) - size
+        take = np.arange(total) + np.repeat(start - put, size)
+        return self.blob[take].tobytes().decode("utf-8", "replace")
+
+
+class ByteBpe(Decoder):
+    """Encoder, too."""
+
+    def _read(self, model: dict, as_bytes: dict[int, bytes]) -> None:
         vocab: dict[str, int] = model["vocab"]
-        symbols = byte_symbols()
-        to_byte = {s: b for b, s in enumerate(symbols)}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.joined = {(vocab[a], vocab[b]): vocab[a + b] for a, b in pairs}
         # The search compares token ids as ranks: ids must rise in merge order.
@@ -56,20 +84,12 @@ class ByteBpe:
             raise ValueError("token ids must rise in merge order")
         self.parts = {t: ab for ab, t in self.joined.items()}
         # Texts are matched as Latin-1 strings, one character a byte.
-        as_bytes = {t: bytes(to_byte[c] for c in s) for s, t in vocab.items()}
         self.automaton = ahocorasick.Automaton()
         for t, b in as_bytes.items():
             self.automaton.add_word(b.decode("latin-1"), (len(b), t))
         self.automaton.make_automaton()
         self.pattern = regex.compile(PATTERN)
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        size = max([*as_bytes, *self.special.values()]) + 1
-        table = [as_bytes.get(i, b"") for i in range(size)]
-        for s, t in self.special.items():
-            table[t] = s.encode()
-        self.blob = np.frombuffer(b"".join(table), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in table])])
         self.compatible: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
 
@@ -152,25 +172,17 @@ class ByteBpe:
         out.extend(chain.from_iterable(self._plain(text[at:])))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Ids outside the vocabulary stand for nothing; invalid UTF-8 becomes U+FFFD."""
-        ids = np.asarray(ids, np.int64)
-        ids = ids[(ids >= 0) & (ids < len(self.offsets) - 1)]
-        start = self.offsets[ids]
-        size = self.offsets[ids + 1] - start
-        total = int(size.sum())
-        if not total:
-            return ""
-        put = np.cumsum(size) - size
-        take = np.arange(total) + np.repeat(start - put, size)
-        return self.blob[take].tobytes().decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row of ``df``; ``path``: a byte-level vocabulary file on every machine."""
 
@@ -183,14 +195,14 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded text) for every row of ``df``; a null array decodes to the empty text."""
 
     def run(batches):
-        c = codec(path)
+        c = decoder(path)
         for b in batches:
             col = b.column(1)
             flat, off, valid = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy(), col.is_valid().to_numpy(zero_copy_only=False)
@@ -198,7 +210,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
             yield pa.RecordBatch.from_arrays([b.column(0), col, pa.array(texts, pa.string())], [id_col, "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return df.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def digest(coded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -219,6 +231,7 @@ def default_path() -> str:
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_path()
+    small_batches(spark)
     return digest(decode(encode(read(spark, sf_dir, "documents"), path), path))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
-from quirefold.llm.common import read, small_batches, store
+from quirefold.llm.common import read, small_batches, store, tidy
 from quirefold.llm.words import _BASE, _INVERSE, _TABLE, Words, _power, batches_of, mix, span_hash
 
 WINDOW, LITERALS, LEAST = 8, 4, 0.5
@@ -161,7 +161,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         yield _emit(part, [0, 1], t, size, at[hit], h[hit])
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
-    found = texts.mapInArrow(scan, f"id {doc_kind}, key long, h long, pos int, size int, slots {SLOTS}")
+    found = texts.mapInArrow(tidy(scan), f"id {doc_kind}, key long, h long, pos int, size int, slots {SLOTS}")
     right = items.select("item", "h", "size", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     pairs = found.join(right, ["h", "size"]).select("id", "key", "item", "size", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", F.arrays_zip("item_slots", "slots").alias("z"))
     # Each (kind, item's value) may stand for one value only; equal hashes have equal kinds place by place.

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
-from quirefold.llm.common import read, shuffle_width, small_batches, store
+from quirefold.llm.common import read, release, shuffle_width, small_batches, store, tidy
 from quirefold.llm.components import components
 from quirefold.llm.words import Words, batches_of, mix, span_hash
 
 SHINGLE = 5
 #: Entries of a sieve range, and shingles of a chunk of a block: what a task holds.
-RANGE_ENTRIES, CHUNK_TOKENS = 4 << 20, 2 << 20
+RANGE_ENTRIES, CHUNK_TOKENS = 1 << 20, 2 << 20
 #: Sets of a leaf, and children of a node.
 LEAF, FAN = 16, 8
 LEADERS = 12
@@ -277,6 +277,7 @@ def _frequency(token: np.ndarray) -> np.ndarray:
     return np.repeat(c, c)
 
 
+_COUNTED = np.dtype([("name", np.uint64), ("token", np.uint64), ("f", np.uint32)])
 ENTRY = "range int, names binary, entries binary"
 
 
@@ -295,7 +296,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 s = Sets(part.column(1), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _i64(s.n), _i64(s.name)], ["id", "key", "n", "name"])
 
-    rows = store(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.col(text_col)).alias("key")).mapInArrow(describe, "id long, key long, n long, name long"), "jaccard-rows")
+    rows = store(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.col(text_col)).alias("key")).mapInArrow(tidy(describe), "id long, key long, n long, name long"), "jaccard-rows")
     classes = rows.where("n > 0").groupBy("name").agg(F.min("id").alias("least"), F.first("n").alias("n"))
     n_tokens = int(classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     ranges = max(width, -(-n_tokens * 2 // 5 // range_entries))
@@ -313,9 +314,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def shared(table: pa.Table) -> pa.Table:
         token, name = _entries(table)
         who, c = np.unique(name[_frequency(token) > 1], return_counts=True)
-        return pa.table({"name": _i64(who), "c": _i64(c)})
+        out = pa.table({"name": _i64(who), "c": _i64(c)})
+        release()
+        return out
 
-    counts = texts.mapInArrow(offer, ENTRY).groupBy("range").applyInArrow(shared, "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
+    counts = texts.mapInArrow(tidy(offer), ENTRY).groupBy("range").applyInArrow(shared, "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
     n = F.col("n")
     own = F.floor(n / 4)
     looked = F.least(own + F.floor(n / 10) + 1, n)
@@ -333,11 +336,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if len(i):
                     yield pa.RecordBatch.from_arrays([_i64(s.name[i]), _i64(s.n[i]), pa.array([s.token[s.offset[k] : s.offset[k + 1]].tobytes() for k in i.tolist()], pa.binary())], ["name", "n", "tokens"])
 
-    sets = store(texts.mapInArrow(gather, "name long, n long, tokens binary").join(survivors, "name", "left_semi").dropDuplicates(["name"]), "jaccard-sets")
+    sets = store(texts.mapInArrow(tidy(gather), "name long, n long, tokens binary").join(survivors, "name", "left_semi").dropDuplicates(["name"]), "jaccard-sets")
     total = int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    few = max(1, -(-total * 2 // range_entries))  # as few as fit: each set answers once for every range it has tokens in
+    few = max(1, -(-total // range_entries))
 
-    # 3. The rarest tokens of each set.
+    # 3. The rarest tokens of each set: tokens meet by range to be counted, and their counts meet again by set.
     def spell(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -348,34 +351,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], ["range", "names", "entries"])
 
     def common(table: pa.Table) -> pa.Table:
-        """Each set's tokens that others have, with in how many sets they are."""
+        """Tokens that several sets have, with in how many sets they are, packed by part of the sets' names."""
         token, name = _entries(table)
         f = _frequency(token)
-        keep = f > 1
-        token, name, f = token[keep], name[keep], f[keep]
-        order = np.argsort(name, kind="stable")
-        token, name, f = token[order], name[order], f[order]
-        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
-        cut = list(zip(first.tolist(), np.append(first[1:], len(name)).tolist()))
-        return pa.table({"name": _i64(name[first]), "pairs": pa.array([np.stack([token[a:b], f[a:b].astype(np.uint64)]).T.tobytes() for a, b in cut], pa.binary())})
-
-    pairs = sets.select("name", "tokens", "n").mapInArrow(spell, ENTRY).groupBy("range").applyInArrow(common, "name long, pairs binary")
-    packed = pairs.groupBy("name").agg(F.collect_list("pairs").alias("pairs")).join(sets.select("name", "n"), "name")
-
-    def rarest(batches):
-        for b in batches:
-            names, tokens = [], []
-            for name, parts, size in zip(*(c.to_pylist() for c in b.columns)):
-                p = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
-                need = size // 4 + 1 - (size - len(p))  # tokens nobody else has come first
-                if need > 0:
-                    p = p[np.lexsort((p[:, 0], p[:, 1]))[:need]]
-                    names.append(np.full(len(p), name, np.int64))
-                    tokens.append(p[:, 0])
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), _i64(np.concatenate(tokens))], ["name", "token"])
-
-    index = packed.select("name", "pairs", "n").mapInArrow(rarest, "name long, token long")
+        keep = np.flatnonzero(f > 1)
+        rec = np.zeros(len(keep), _COUNTED)
+        rec["name"], rec["token"], rec["f"] = name[keep], token[keep], f[keep]
+        part = (rec["name"] % np.uint64(few)).astype(np.int64)
+        rec = rec[np.argsort(part, kind="stable")]
+        parts, first = np.unique(np.sort(part), return_index=True)
+        cut = zip(first.tolist(), np.append(first[1:], len(rec)).tolist())
+        out = pa.table({"part": pa.array(parts, pa.int32()), "counted": pa.array([rec[a:b].tobytes() for a, b in cut], pa.binary())})
+        release()
+        return out
+
+    def rarest(sizes: pa.Table, counted: pa.Table) -> pa.Table:
+        rec = np.concatenate([np.frombuffer(x, _COUNTED) for x in counted.column("counted").to_pylist()] or [np.zeros(0, _COUNTED)])
+        rec = rec[np.lexsort((rec["token"], rec["f"], rec["name"]))]
+        name, n = sizes.column("name").to_numpy().view(np.uint64), sizes.column("n").to_numpy()
+        order = np.argsort(name)
+        name, n = name[order], n[order]
+        first = np.searchsorted(rec["name"], name)
+        shared = np.searchsorted(rec["name"], name, "right") - first
+        need = np.clip(n // 4 + 1 - (n - shared), 0, shared)  # tokens nobody else has come first
+        take = _spread(need, first)
+        out = pa.table({"name": _i64(rec["name"][take].copy()), "token": _i64(rec["token"][take].copy())})
+        release()
+        return out
+
+    met = sets.select("name", "tokens", "n").mapInArrow(tidy(spell), ENTRY).groupBy("range").applyInArrow(common, "part int, counted binary")
+    part = F.pmod(F.conv(F.hex("name"), 16, 10).cast("decimal(20,0)"), F.lit(few)).cast("int")
+    sized = sets.select("name", "n", part.alias("part"))
+    index = sized.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(rarest, "name long, token long")
     index = store(index, "jaccard-index")
     least = index.groupBy("token").agg(F.min("name").alias("b"), F.count("*").alias("c")).where("c > 1")
     meet = index.join(least, "token").select(F.col("name").alias("a"), "b").distinct()
@@ -396,6 +403,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for x, y in solve(token, offset, label, left):
                 a.append(names[x])
                 b.append(names[y])
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     def solved(parts: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import ascii_lower, read, small_batches, store
+from quirefold.llm.common import ascii_lower, read, small_batches, store, tidy
 from quirefold.llm.urlfilter import host_of, path_of
 from quirefold.llm.words import batches_of
 
@@ -49,6 +49,10 @@ class Trigrams:
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
         off = off - off[0]
+        # A space before and after each text, so that the shortest words have trigrams.
+        if len(off) > 1:
+            data = np.insert(data, np.repeat(off, np.concatenate([[1], np.full(len(off) - 2, 2), [1]])), 0x20)
+            off = off + np.concatenate([[0], 2 * np.arange(1, len(off))])
         low = _FOLD[data]
         if len(data) > 1:  # capitals of Latin-1 in UTF-8
             capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
@@ -93,7 +97,7 @@ def fit(rows: DataFrame, label: Column, text: Column, key: Column, sample_rows:
             i = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(c[i].astype(np.int64))], ["label", "bucket", "c"])
 
-    got = chosen.mapInArrow(count, "label string, bucket int, c long").groupBy("label", "bucket").agg(F.sum("c").alias("c")).toArrow()
+    got = chosen.mapInArrow(tidy(count), "label string, bucket int, c long").groupBy("label", "bucket").agg(F.sum("c").alias("c")).toArrow()
     names = sorted(r["label"] for r in found)
     counts = np.zeros((len(names), BUCKETS))
     place = {x: i for i, x in enumerate(names)}
@@ -137,7 +141,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * ll.shape[1]), flat)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(5)), pa.array(n.astype(np.int64)), lists], ["i", "key", "declared", "suffix", "host", "n", "ll"])
 
-    scored = source.mapInArrow(score, f"i {kind}, key long, declared string, suffix string, host string, n long, ll array<double>")
+    scored = source.mapInArrow(tidy(score), f"i {kind}, key long, declared string, suffix string, host string, n long, ll array<double>")
     flat = F.array(*[F.lit(float(np.log(max((1 - BACKGROUND) / max(k, 1), 1e-300)))) for _ in names], F.lit(float(np.log(BACKGROUND)) if k else 0.0))
     text = F.zip_with("ll", flat, lambda a, b: a + b)
     scored = scored.withColumn("text", text).withColumn("norm", _log_sum(F.col("text"))).withColumn("post", F.transform("text", lambda x: F.exp(x - F.col("norm")))).drop("text", "norm")

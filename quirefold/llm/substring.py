@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
-from quirefold.llm.common import read, shuffle_width, small_batches, store
+from quirefold.llm.common import read, release, shuffle_width, small_batches, store, tidy
 from quirefold.llm.words import Words, batches_of, grams, mix, sliding_argmin, span_hash
 
 #: Words of a window, and of the grams that anchor it.
@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (dg[1:] != dg[:-1])]))
                 yield pa.RecordBatch.from_arrays([_i64(h[first]), _i64(dg[first]), _i64(np.diff(np.append(first, len(h)))), _i64(k1[order][first])], ["h", "dg", "c", "k1"])
 
-    seen = texts.select("k1", "t").mapInArrow(count, "h long, dg long, c long, k1 long").groupBy("h", "dg").agg(F.sum("c").alias("c"), F.min("k1").alias("k1"))
+    seen = texts.select("k1", "t").mapInArrow(tidy(count), "h long, dg long, c long, k1 long").groupBy("h", "dg").agg(F.sum("c").alias("c"), F.min("k1").alias("k1"))
     anchors = seen.groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("alone")).where("all > 1")
     parts = F.when(F.col("alone") > 0, F.ceil(F.col("kinds") / salt_at)).otherwise(0).cast("int")
     shared = store(seen.join(anchors, "h").select("h", "dg", "c", "k1", parts.alias("salts")), "substring-contexts")
@@ -155,7 +155,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 e = x.start[t] + x.n[t] + width - 1 - w.offset[x.doc[f]]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(d), part.column(1).take(d), _i64(x.h[f]), _i64(x.dg[f]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["k1", "k2", "h", "dg", "s", "e"])
 
-    spans = texts.mapInArrow(repeats, "k1 long, k2 long, h long, dg long, s int, e int").join(whole, ["h", "dg"], "left_semi").select("k1", "k2", "s", "e")
+    spans = texts.mapInArrow(tidy(repeats), "k1 long, k2 long, h long, dg long, s int, e int").join(whole, ["h", "dg"], "left_semi").select("k1", "k2", "s", "e")
     if n_parsed:
         most = 2 * width - gram  # words of a context
         spans = spans.unionByName(_factored(texts, parsed, parsed_sieve, max(1, -(-n_parsed * most // block_words)), n_hot and -(-n_hot * most // range_windows), width, gram))
@@ -192,7 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), _i64(n), _i64(n - kept), pa.array(_joined(w, keep), pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"])
 
     both = touched.select("row", F.col(f"row.`{text_col}`").alias("t"), "spans").union(clean.select("row", F.col(f"row.`{text_col}`").alias("t"), "spans"))
-    out = both.mapInArrow(cut, _out_schema(schema["row"]))
+    out = both.mapInArrow(tidy(cut), _out_schema(schema["row"]))
     return out.select(*[F.col(f"row.`{c}`") for c in docs.columns], "n_words", "n_removed", "kept")
 
 
@@ -245,7 +245,7 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
                     text = [w.text(p, q) for p, q in zip(x.start[i].tolist(), last.tolist())]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(d), part.column(1).take(d), _i64(x.h[i]), _i64(x.dg[i]), pa.array((x.start[i] - w.offset[x.doc[i]]).astype(np.int32)), pa.array(text, pa.binary()).cast(pa.string())], ["k1", "k2", "h", "dg", "s", "ctx"])
 
-    found = texts.mapInArrow(contexts, "k1 long, k2 long, h long, dg long, s int, ctx string").join(parsed, ["h", "dg", "k1"])
+    found = texts.mapInArrow(tidy(contexts), "k1 long, k2 long, h long, dg long, s int, ctx string").join(parsed, ["h", "dg", "k1"])
     # Of a repeated context one copy is reference; the rare row that has it twice gives it twice, which changes nothing.
     salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("dg"), F.col("salts"))).otherwise(0)
     dealt = found.select(F.pmod(F.xxhash64("h", salt), F.lit(blocks)).alias("block"), "k1", "k2", "s", "ctx", (F.col("salts") > 1).alias("hot"), (F.col("c") == 1).alias("alone"))
@@ -289,6 +289,7 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
             null = pa.nulls(len(rows), pa.int64())
             more = pa.table({"k1": null, "k2": null, "s": pa.nulls(len(rows), pa.int32()), "e": pa.nulls(len(rows), pa.int32()), "range": pa.array([r for r, _ in rows], pa.int32()), "windows": pa.array([x for _, x in rows], pa.binary())})
             result = pa.concat_tables([result, more])
+        release()
         return result
 
     factors = dealt.groupBy("block").applyInArrow(factor, "k1 long, k2 long, s int, e int, range int, windows binary")
