@@ -92,6 +92,11 @@ def extraction_prompt(chunk_id: Column, start: Column, end: Column, text: Column
     return json_only_prompt(F.concat(head, F.lit("Fact types: " + ", ".join(T.FACT_TYPES) + ". Strengths: " + ", ".join(T.STRENGTHS) + ".\n\n"), text))
 
 
+def smoke_test(load: Callable[[], Callable[[str], str]]) -> bool:
+    """Whether the extractor, asked for a fixed object, gives JSON at all."""
+    return parse_strict(load()('Answer with one JSON object and nothing else.\n\nSay {"extracted_facts": []}'))[0] is not None
+
+
 def run_extractor(chunks: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
     """``chunks`` with ``output``: what the extractor says of each. ``load`` makes the extractor once for each task."""
     prompted = chunks.withColumn("prompt", extraction_prompt(F.col("chunk_id"), F.col("line_start"), F.col("line_end"), F.col("text")))
@@ -100,6 +105,8 @@ def run_extractor(chunks: DataFrame, load: Callable[[], Callable[[str], str]]) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = load()
         for pdf in batches:
+            if (pdf["prompt"].str.strip() == "").any():
+                raise ValueError("empty prompt")
             yield pdf.drop(columns="prompt").assign(output=[extract(p) for p in pdf["prompt"]])
 
     return prompted.mapInPandas(run, fields + ", output string")

@@ -203,3 +203,33 @@ def conditions(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
     parsed = nodes.where("node_type = 'decision'").select("doc_id", "node_id", T.parse_condition(F.col("condition")).alias("p"))
     named = parsed.select("doc_id", "node_id", F.col("p.input_id").alias("input_id"), F.col("p.expected").alias("expected"))
     return named.join(inputs.select("doc_id", "input_id", "name"), ["doc_id", "input_id"], "left").select("doc_id", "node_id", "input_id", "expected", "name")
+
+
+# Shapes of ids and kinds of inputs.
+NODE_ID, INPUT_ID, INPUT_TYPES = {"decision": r"^d[0-9]{4}$", "action": r"^a[0-9]{4}$", "end": r"^e[0-9]{4}$"}, r"^in[0-9]{3}$", ("bool", "int", "float", "str", "choice")
+
+
+def shape_violations(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(doc_id, entity, rule): nodes and inputs that are not what their kind must be."""
+    kind, text = F.col("node_type"), lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
+    wrong_id = F.lit(False)
+    for k, pattern in NODE_ID.items():
+        wrong_id |= (kind == k) & ~F.coalesce(F.col("node_id").rlike(pattern), F.lit(False))
+    node_rules = F.array_compact(
+        F.array(
+            F.when(~F.coalesce(kind.isin(*NODE_ID), F.lit(False)), "node_type"),
+            F.when(wrong_id, "node_id"),
+            F.when((kind == "decision") & text("condition"), "condition"),
+            F.when((kind == "decision") & (text("true_next") | text("false_next")), "next"),
+            F.when((kind == "action") & text("action"), "action"),
+        )
+    )
+    input_rules = F.array_compact(
+        F.array(
+            F.when(~F.coalesce(F.col("input_id").rlike(INPUT_ID), F.lit(False)), "input_id"),
+            F.when(text("name"), "name"),
+            F.when(~F.coalesce(F.col("type").isin(*INPUT_TYPES), F.lit(False)), "type"),
+        )
+    )
+    a = nodes.select("doc_id", F.col("node_id").alias("entity"), F.explode(node_rules).alias("rule"))
+    return a.unionByName(inputs.select("doc_id", F.col("input_id").alias("entity"), F.explode(input_rules).alias("rule")))

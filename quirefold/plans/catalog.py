@@ -440,6 +440,24 @@ def decision_chain(spark, d):
     return workflow.decision_chain(heads, nodes.distinct())
 
 
+SHAPES = [(1, "d0001", "decision", "in001 == true", "e0001", "e0001", None), (1, "d1", "decision", "", "e0001", None, None), (2, "a0001", "action", None, None, None, ""), (2, "x0001", "end", None, None, None, None), (3, "e0001", "oddity", None, None, None, None), (3, "a0002", "action", None, None, None, "do")]
+SHAPE_INPUTS = [(1, "in001", "a", "bool"), (1, "in1", "", "date"), (2, "in002", None, "choice")]
+
+
+@query(f"""with n(doc_id, node_id, node_type, condition, true_next, false_next, action) as (values {sql_values(SHAPES)}), i(doc_id, input_id, name, type) as (values {sql_values(SHAPE_INPUTS)})
+select doc_id, node_id as entity, 'node_type' as rule from n where node_type not in ('decision', 'action', 'end')
+union all select doc_id, node_id, 'node_id' from n where node_type in ('decision', 'action', 'end') and not regexp_full_match(node_id, left(node_type, 1) || '[0-9]{{4}}')
+union all select doc_id, node_id, 'condition' from n where node_type = 'decision' and coalesce(condition, '') = ''
+union all select doc_id, node_id, 'next' from n where node_type = 'decision' and (coalesce(true_next, '') = '' or coalesce(false_next, '') = '')
+union all select doc_id, node_id, 'action' from n where node_type = 'action' and coalesce(action, '') = ''
+union all select doc_id, input_id, 'input_id' from i where not regexp_full_match(input_id, 'in[0-9]{{3}}')
+union all select doc_id, input_id, 'name' from i where coalesce(name, '') = ''
+union all select doc_id, input_id, 'type' from i where type not in ('bool', 'int', 'float', 'str', 'choice')""")
+def workflow_shapes(spark, d):
+    nodes = values(spark, SHAPES, "doc_id int, node_id string, node_type string, condition string, true_next string, false_next string, action string")
+    return workflow.shape_violations(nodes, values(spark, SHAPE_INPUTS, "doc_id int, input_id string, name string, type string"))
+
+
 @query(f"with {BUCKETS}, n as ({_NODES}), e as (select doc_id, node_id, true as branch, true_next as next_id from n where node_type = 'decision' union all select doc_id, node_id, false, false_next from n where node_type = 'decision') select e.doc_id, e.node_id, branch, next_id, n.node_type as next_type, case when n.node_type = 'decision' then 'Continue to next step.' else n.text end as says from e join n on n.doc_id = e.doc_id and n.node_id = e.next_id")
 def next_steps(spark, d):
     return workflow.next_steps(workflow.workflow_nodes(_bucket_facts(spark, d)))
@@ -561,7 +579,7 @@ def rule_extractor():
         found = [(int(m[1]), m[2]) for m in re.finditer(r"(?m)^(\d+)\. (.*(?:tion|the|ung|que).*)$", prompt)]
         out = [{"fact_type": "warning" if n % 2 else "other", "statement": t[:60], "citations": [{"line_start": n, "line_end": n + 2}]} for n, t in found[:3]]
         text = json.dumps({"extracted_facts": out})
-        return text if len(out) % 2 else text[:-2] + ', {"fact_type": "ot'
+        return text if len(out) % 2 or not out else text[:-2] + ', {"fact_type": "ot'
 
     return extract
 

@@ -50,6 +50,8 @@ def run_all(spark: SparkSession, docs: DataFrame, out: str, load_extractor, resu
     trace.fail_closed(trace.structure_violations(text, chunks), "doc_id", "entity")
     run.step("citation_index", lambda: trace.citation_index(text, chunks))
     run.step("smoke_snippets", lambda: render.smoke_snippets(chunks, text))
+    if not extract.smoke_test(load_extractor):
+        raise trace.ContractError("the extractor gives no JSON")
     outputs = run.step("outputs", lambda: extract.run_extractor(chunks, load_extractor))
     trace.fail_closed(extract.failed_outputs(outputs), "doc_id", "chunk_id")
     raw = run.step("facts", lambda: extract.facts_of(outputs))
@@ -62,6 +64,7 @@ def run_all(spark: SparkSession, docs: DataFrame, out: str, load_extractor, resu
     inputs = run.step("workflow_inputs", lambda: workflow.workflow_inputs(clean))
     nodes = run.step("workflow_nodes", lambda: workflow.workflow_nodes(clean))
     run.step("workflow_meta", lambda: workflow.workflow_meta(clean))
+    trace.fail_closed(workflow.shape_violations(nodes, inputs), "doc_id", "entity", "rule")
     trace.fail_closed(workflow.graph_violations(heads, nodes), "doc_id", "ordinal", "entity")
     run.step("audit", lambda: render.audit_markdown(heads, inputs, nodes, text))
     run.step("summary", lambda: render.reading_markdown(heads, inputs, nodes, text, title))

@@ -63,3 +63,13 @@ def test_files(spark, tmp_path):
     assert next((tmp_path / "md/key=k").glob("part-*")).read_text() == "line\nmore\n"
     got = files.sha256_files(spark, f"{tmp_path}/n.txt").first()
     assert got.sha256 == hashlib.sha256(b"1. a\n2. b\n").hexdigest()
+
+
+def test_convert_html(spark, tmp_path):
+    from quirefold.sources import convert
+
+    (tmp_path / "a.html").write_text("<nav>x</nav><h1>Title</h1><p>one line that goes</p><p>on here.</p><p>12</p><li>two</li>")
+    convert.main(["--html", f"{tmp_path}/a.html", "--out", f"{tmp_path}/out"])
+    assert next((tmp_path / "out/key=a.html").glob("part-*")).read_text().rstrip("\n").split("\n") == ["1. Title one line that goes on here.", "2. two"]
+    with pytest.raises(SystemExit):
+        convert.main(["--out", f"{tmp_path}/out"])
