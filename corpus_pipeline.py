@@ -47,8 +47,7 @@ def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document left."""
     small_batches(spark)
     path = bpe.default_path()
-    coded = bpe.decode(bpe.encode(docs, path), path)
-    return bpe.digest(coded, keep=("ids",))
+    return bpe.digest(bpe.round_trip(docs, path), keep=("ids",))
 
 
 STAGES = [

@@ -27,8 +27,10 @@ from quirefold.llm.common import read, small_batches, tidy
 
 #: The byte-level splitting pattern of the vocabulary files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries each worker keeps in its pre-token cache and in its pair table before it starts afresh.
-CACHE_ENTRIES = 250_000
+#: Entries each worker keeps of pre-tokens met more than once, of those met lately, and of pairs, before it starts afresh.
+CACHE_ENTRIES, LATELY_ENTRIES, PAIR_ENTRIES = 120_000, 40_000, 150_000
+#: Longer pre-tokens are not kept in a cache: they hardly come again, and may be very long.
+CACHE_CHARS = 64
 
 
 def byte_symbols() -> list[str]:
@@ -92,6 +94,7 @@ class ByteBpe(Decoder):
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.compatible: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.lately: dict[str, tuple[int, ...]] = {}
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves a border between two tokens that each stand for themselves.
@@ -150,15 +153,29 @@ class ByteBpe(Decoder):
 
     def _plain(self, text: str) -> list[tuple[int, ...]]:
         pieces = self.pattern.findall(text)
-        cache = self.cache
-        for p in set(pieces).difference(cache):
-            cache[p] = self.encode_piece(p)
-        return [cache[p] for p in pieces]
+        cache, lately = self.cache, self.lately
+        new = set(pieces).difference(cache)
+        for p in new:
+            known = lately.pop(p, None)
+            if known is None:
+                cache[p] = lately[p] = self.encode_piece(p)
+            else:
+                cache[p] = known
+        out = [cache[p] for p in pieces]
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del cache[p]
+                lately.pop(p, None)
+            elif p in lately:  # met in this text only
+                del cache[p]
+        return out
 
     def encode(self, text: str | None) -> array:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        if len(self.compatible) > CACHE_ENTRIES:
+        if len(self.lately) > LATELY_ENTRIES:
+            self.lately.clear()
+        if len(self.compatible) > PAIR_ENTRIES:
             self.compatible.clear()
         if not text:
             return array("i")
@@ -183,16 +200,25 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+def _id_lists(c: ByteBpe, col: pa.Array) -> pa.ListArray:
+    ids = [c.encode(t.as_py()) for t in col]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids if len(x)] or [np.zeros(0, np.int32)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _texts(c: Decoder, col: pa.ListArray) -> pa.Array:
+    flat, off, valid = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy(), col.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array([c.decode(flat[off[i] : off[i + 1]]) if valid[i] else "" for i in range(len(col))], pa.string())
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row of ``df``; ``path``: a byte-level vocabulary file on every machine."""
 
     def run(batches):
         c = codec(path)
         for b in batches:
-            ids = [c.encode(t.as_py()) for t in b.column(1)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids if len(x)] or [np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _id_lists(c, b.column(1))], [id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>")
@@ -204,15 +230,27 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     def run(batches):
         c = decoder(path)
         for b in batches:
-            col = b.column(1)
-            flat, off, valid = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy(), col.is_valid().to_numpy(zero_copy_only=False)
-            texts = [c.decode(flat[off[i] : off[i + 1]]) if valid[i] else "" for i in range(len(col))]
-            yield pa.RecordBatch.from_arrays([b.column(0), col, pa.array(texts, pa.string())], [id_col, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _texts(c, b.column(1))], [id_col, "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded text) as ``decode(encode(df))`` gives it, in one pass through one worker."""
+
+    def run(batches):
+        c = codec(path)
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                ids = _id_lists(c, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, _texts(c, ids)], [id_col, "ids", "decoded"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>, decoded string")
+
+
 def digest(coded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     return coded.select(
         id_col,
@@ -232,7 +270,7 @@ def default_path() -> str:
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_path()
     small_batches(spark)
-    return digest(decode(encode(read(spark, sf_dir, "documents"), path), path))
+    return digest(round_trip(read(spark, sf_dir, "documents"), path))
 
 
 QUERIES = {"op5_bpe_codec": op5_bpe_codec}

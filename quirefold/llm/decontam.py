@@ -7,7 +7,8 @@ consistent: each value of the item's slots stands for one value of the document,
 numbers and names put in throughout, but not a text that merely has the same shape. A document is contaminated by
 an item if consistent alignments cover at least ``least`` of the item's windows.
 
-Windows with fewer than ``literals`` plain words keep their values instead of placeholders: they must be equal.
+Windows with fewer than ``literals`` plain words keep their values instead of placeholders: they must be equal, and equal a
+window of plain words too, so a passage in capitals is still found.
 Only windows that pass a Bloom filter of the benchmark's (of bounded size) leave a document, so the join's input is small
 on both sides and Spark picks its kind by size.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
 from quirefold.llm.common import read, small_batches, store, tidy
-from quirefold.llm.words import _BASE, _INVERSE, _TABLE, Words, _power, batches_of, mix, span_hash
+from quirefold.llm.words import Words, batches_of, mix, run_hashes, span_hash
 
 WINDOW, LITERALS, LEAST = 8, 4, 0.5
 #: Unit words (fixed values); they are placeholders after a number only.
@@ -70,10 +71,8 @@ class Template:
             capital[latin - 1] = True
         else:
             capital = upper
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[low] * _power(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
-        f, e = first[keep], last[keep] + 1
-        self.value = mix((sums[e] - sums[f]) * _power(_INVERSE, len(data) + 1)[f])
+        f = first[keep]
+        self.value = run_hashes(low, f, last[keep] + 1)
         doc = word_doc[keep]
         self.offset = np.searchsorted(doc, np.arange(len(w.offset)))
         lead = data[f]
@@ -89,14 +88,14 @@ class Template:
         self.slot = number | name | unit
         self.shape = np.where(number, _NUMBER, np.where(name, _NAME, np.where(unit, _UNIT, self.value)))
 
-    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens of all windows of ``size`` tokens within a text, and their hashes."""
+    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First tokens of all windows of ``size`` tokens within a text, their hashes, and whether they keep their values."""
         n = np.maximum(np.diff(self.offset) - size + 1, 0)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.offset[:-1], n)
         plain = np.concatenate([[0], np.cumsum(~self.slot)])
         poor = plain[at + size] - plain[at] < min(literals, size)
         shape = span_hash(self.shape, at, at + size)
-        return at, np.where(poor, mix(span_hash(self.value, at, at + size) + np.uint64(1)), shape)
+        return at, np.where(poor, span_hash(self.value, at, at + size), shape), poor
 
     def slots(self, at: int, size: int) -> list[tuple[int, int]]:
         """(type, value) hashes of the slots of a window."""
@@ -116,10 +115,11 @@ def _unit_hashes() -> np.ndarray:
 SLOTS = "array<struct<kind:long,value:long>>"
 
 
-def _emit(part: pa.RecordBatch, ids: list[int], t: Template, size: int, at: np.ndarray, h: np.ndarray):
+def _emit(part: pa.RecordBatch, ids: list[int], t: Template, size: int, at: np.ndarray, h: np.ndarray, poor: np.ndarray):
     doc = np.searchsorted(t.offset, at, "right") - 1
     d = pa.array(doc)
-    slots = [[{"kind": a, "value": b} for a, b in t.slots(x, size)] for x in at.tolist()]
+    # Windows that keep their values have no slots to check.
+    slots = [[] if p else [{"kind": a, "value": b} for a, b in t.slots(x, size)] for x, p in zip(at.tolist(), poor.tolist())]
     kind = pa.list_(pa.struct([("kind", pa.int64()), ("value", pa.int64())]))
     return pa.RecordBatch.from_arrays([*(part.column(c).take(d) for c in ids), pa.array(h.view(np.int64)), pa.array((at - t.offset[doc]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(slots, kind)], [*(part.schema.names[c] for c in ids), "h", "pos", "size", "slots"])
 
@@ -140,10 +140,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 for s in np.unique(np.minimum(size, window)).tolist():
                     if not s:
                         continue
-                    at, h = t.windows(s, literals)
+                    at, h, poor = t.windows(s, literals)
                     doc = np.searchsorted(t.offset, at, "right") - 1
                     mine = np.minimum(size[doc], window) == s
-                    yield _emit(part, [0], t, s, at[mine], h[mine])
+                    yield _emit(part, [0], t, s, at[mine], h[mine], poor[mine])
 
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).distinct().mapInArrow(cut_items, f"item {item_kind}, h long, pos int, size int, slots {SLOTS}")
     items = store(items, "decontam-items")
@@ -155,10 +155,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             for part in batches_of(b, 2):
                 t = Template(part.column(2))
                 for size, sieve in blooms.value.items():
-                    at, h = t.windows(size, literals)
+                    at, h, poor = t.windows(size, literals)
                     hit = bloom.test(sieve, h)
                     if hit.any():
-                        yield _emit(part, [0, 1], t, size, at[hit], h[hit])
+                        yield _emit(part, [0, 1], t, size, at[hit], h[hit], poor[hit])
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
     found = texts.mapInArrow(tidy(scan), f"id {doc_kind}, key long, h long, pos int, size int, slots {SLOTS}")

@@ -162,19 +162,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Spans that touch are one; a document's spans are as many as its length allows.
     by_row = store(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "substring-spans")
     n_rows = by_row.count()
-    rows_sieve = spark.sparkContext.broadcast(bloom.collect(by_row.select("k1"), F.col("k1"), n_rows))
-
-    def with_spans(wanted: bool):
-        def run(batches):
-            for b in batches:
-                yield b.filter(pa.array(bloom.test(rows_sieve.value, b.column(0).to_numpy().view(np.uint64)) == wanted))
-
-        return run
-
-    keyed = docs.select(*_row_keys(docs, id_col, text_col), row)
-    schema = keyed.schema
-    touched = keyed.mapInArrow(with_spans(True), schema).join(by_row, ["k1", "k2"], "left")
-    clean = keyed.mapInArrow(with_spans(False), schema).withColumn("spans", F.lit(None).cast("array<struct<s:int,e:int>>"))
+    # Only rows that may have spans are shuffled to meet them.
+    keyed = bloom.probe(docs.select(*_row_keys(docs, id_col, text_col), row), F.col("k1"), by_row.select("k1"), "k1", n_rows, "maybe")
+    touched = keyed.where("maybe").join(by_row, ["k1", "k2"], "left")
+    clean = keyed.where("not maybe").withColumn("spans", F.lit(None).cast("array<struct<s:int,e:int>>"))
 
     def cut(batches):
         for b in batches:
@@ -192,7 +183,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), _i64(n), _i64(n - kept), pa.array(_joined(w, keep), pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"])
 
     both = touched.select("row", F.col(f"row.`{text_col}`").alias("t"), "spans").union(clean.select("row", F.col(f"row.`{text_col}`").alias("t"), "spans"))
-    out = both.mapInArrow(tidy(cut), _out_schema(schema["row"]))
+    out = both.mapInArrow(tidy(cut), _out_schema(keyed.schema["row"]))
     return out.select(*[F.col(f"row.`{c}`") for c in docs.columns], "n_words", "n_removed", "kept")
 
 

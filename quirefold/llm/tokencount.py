@@ -21,13 +21,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.bpe import CACHE_ENTRIES, byte_symbols
-from quirefold.llm.common import read
+from quirefold.llm.bpe import CACHE_CHARS, byte_symbols
+from quirefold.llm.common import read, small_batches, tidy
 
 #: The splitting pattern of the word-end vocabulary file (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Lower case of capitals newer than Python's tables (fixed values), and of sigma without regard to word ends.
 LOWER_CASE = str.maketrans({"\ua7cb": "\u0264", "\ua7dc": "\u019b", "\u03a3": "\u03c3"})
+#: Entries each worker keeps in its pre-token cache before it starts afresh.
+CACHE_ENTRIES = 250_000
 #: Symbols merged at once.
 CHUNK_SYMBOLS = 1 << 20
 
@@ -125,7 +127,11 @@ class WordEndCounter:
         for s in split:
             new.update(set(s).difference(self.cache))
         self._learn(list(new))
-        return [sum(map(get, s)) + e for s, e in zip(split, extra)]
+        out = [sum(map(get, s)) + e for s, e in zip(split, extra)]
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del self.cache[p]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -146,7 +152,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
 
 
 def default_path() -> str:
@@ -156,6 +162,7 @@ def default_path() -> str:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
+    small_batches(spark)
     return count_tokens(read(spark, sf_dir, "documents"), default_path()).withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -18,6 +18,8 @@ _BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, np.ndarray] = {}
+#: Bytes that are summed at once.
+PIECE_BYTES = 1 << 20
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -36,6 +38,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
+    """Hash of each run of bytes; runs rise and do not overlap. Sums are taken piece by piece, so a long text needs no long sums."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(end, base + PIECE_BYTES, "right")))
+        part = data[base : end[j - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(table[part] * _power(_BASE, len(part)), dtype=np.uint64, out=sums[1:])
+        s = start[i:j] - base
+        out[i:j] = mix((sums[end[i:j] - base] - sums[s]) * _power(_INVERSE, len(part) + 1)[s])
+        i = j
+    return out
+
+
 class Words:
     """All words of a batch: ``hash``, byte places ``start`` and ``end`` in ``data``, and ``offset`` of each text's words."""
 
@@ -62,9 +79,7 @@ class Words:
         self.end = np.flatnonzero(ends)
         self.data = data
         self.offset = np.searchsorted(self.start, off)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _TABLE)[data] * _power(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * _power(_INVERSE, len(data) + 1)[self.start])
+        self.hash = run_hashes(data, self.start, self.end, _LOWER if lower else _TABLE)
 
     def grams(self, k: int) -> np.ndarray:
         """Order-sensitive hash of every k words in a row, text borders ignored."""

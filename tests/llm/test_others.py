@@ -73,17 +73,17 @@ ITEM = "Alice has 12 apples and gives 5 km of them to Bob before lunch. How many
 
 
 def test_leaks(spark):
-    items = spark.createDataFrame([(1, ITEM, 0), (2, "short one here", 0), (3, None, 0), (4, "", 0), (5, "12 + 7 = 19", 0), (1, ITEM, 0)], "item_id long, text string, h int")
+    items = spark.createDataFrame([(1, ITEM, 0), (2, "short one here", 0), (3, None, 0), (4, "", 0), (5, "12 + 7 = 19", 0), (1, ITEM, 0), (6, "We walk along the very old road to see what is there and then go home again.", 0)], "item_id long, text string, h int")
     docs = [
         (1, "Intro text. " + ITEM + " Bye."),
         (2, "Intro. Zed has 99 apples and gives 7 mg of them to Kim before lunch. How many apples does Zed have left? Bye"),
         (3, "Intro. Zed has 99 pears and takes 7 mg of it from Kim after lunch. How few apples will Zed have sold? Bye"),
         (4, None), (5, ""), (6, "a short one here and"), (7, "some 12 + 7 = 19 thing"), (8, "some 12 + 8 = 20 thing"), (9, "Alice has 12 apples. Then nothing else of that sort follows."),
-        (10, "x " * 5000 + ITEM), (1, "Intro text. " + ITEM + " Bye."),
+        (10, "x " * 5000 + ITEM), (11, "oh " + "We walk along the very old road to see what is there and then go home again.".upper()), (1, "Intro text. " + ITEM + " Bye."),
     ]
     df = spark.createDataFrame([(d, t, "c") for d, t in docs], "doc_id long, text string, item string")
     got = {(r.doc_id, r.item_id): r for r in decontam.find_leaks(df, items).collect()}
-    assert set(got) == {(1, 1), (2, 1), (6, 2), (7, 5), (10, 1)}
+    assert set(got) == {(1, 1), (2, 1), (6, 2), (7, 5), (10, 1), (11, 6)}
     assert got[1, 1].verbatim and got[1, 1].covered == 1 and not got[2, 1].verbatim
     assert decontam.find_leaks(df.limit(0), items).count() == decontam.find_leaks(df, items.limit(0)).count() == 0
 

@@ -62,6 +62,7 @@ def test_queries_on_odd_rows(spark):
     path = bpe.default_path()
     lib = tokenizers.Tokenizer.from_file(path)
     got = {r.doc_id: r for r in bpe.digest(bpe.decode(bpe.encode(df, path), path)).collect()}
+    assert sorted(map(tuple, bpe.round_trip(df, path).collect()), key=repr) == sorted(map(tuple, bpe.decode(bpe.encode(df, path), path).collect()), key=repr)
     for i, t in enumerate(ts):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
