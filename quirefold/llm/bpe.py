@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import read, small_batches, tidy
+from quirefold.llm.common import keeps, read, small_batches, tidy
 
 #: The byte-level splitting pattern of the vocabulary files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -200,6 +200,9 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+keeps("bpe", codec.cache_clear, decoder.cache_clear)
+
+
 def _id_lists(c: ByteBpe, col: pa.Array) -> pa.ListArray:
     ids = [c.encode(t.as_py()) for t in col]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -221,7 +224,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), _id_lists(c, b.column(1))], [id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>")
+    return df.select(id_col, text_col).mapInArrow(tidy(run, "bpe"), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -233,7 +236,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _texts(c, b.column(1))], [id_col, "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return df.select(id_col, ids_col).mapInArrow(tidy(run, "bpe"), f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,7 +251,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, _texts(c, ids)], [id_col, "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return df.select(id_col, text_col).mapInArrow(tidy(run, "bpe"), f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def digest(coded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -64,10 +64,27 @@ def release() -> None:
         pass
 
 
-def tidy(run):
-    """A function over Arrow batches that releases memory at its end."""
+#: What modules keep in a worker between tasks, by name, and how to drop it.
+_kept: dict[str, list] = {}
+
+
+def keeps(name: str, *drop) -> None:
+    _kept[name] = list(drop)
+
+
+def forget(but: str = "") -> None:
+    """Drops what other operators' tasks have left in this worker."""
+    for name, drop in _kept.items():
+        if name != but:
+            for d in drop:
+                d()
+
+
+def tidy(run, but: str = ""):
+    """A function over Arrow batches that starts without what others kept, and releases memory at its end."""
 
     def tidied(batches):
+        forget(but)
         try:
             yield from run(batches)
         finally:

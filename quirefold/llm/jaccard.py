@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
-from quirefold.llm.common import read, release, shuffle_width, small_batches, store, tidy
+from quirefold.llm.common import forget, read, release, shuffle_width, small_batches, store, tidy
 from quirefold.llm.components import components
 from quirefold.llm.words import Words, batches_of, mix, span_hash
 
@@ -312,6 +312,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], ["range", "names", "entries"])
 
     def shared(table: pa.Table) -> pa.Table:
+        forget()
         token, name = _entries(table)
         who, c = np.unique(name[_frequency(token) > 1], return_counts=True)
         out = pa.table({"name": _i64(who), "c": _i64(c)})
@@ -352,6 +353,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def common(table: pa.Table) -> pa.Table:
         """Tokens that several sets have, with in how many sets they are, packed by part of the sets' names."""
+        forget()
         token, name = _entries(table)
         f = _frequency(token)
         keep = np.flatnonzero(f > 1)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
-from quirefold.llm.common import read, release, shuffle_width, small_batches, store, tidy
+from quirefold.llm.common import forget, read, release, shuffle_width, small_batches, store, tidy
 from quirefold.llm.words import Words, batches_of, grams, mix, sliding_argmin, span_hash
 
 #: Words of a window, and of the grams that anchor it.
@@ -242,6 +242,7 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
     dealt = found.select(F.pmod(F.xxhash64("h", salt), F.lit(blocks)).alias("block"), "k1", "k2", "s", "ctx", (F.col("salts") > 1).alias("hot"), (F.col("c") == 1).alias("alone"))
 
     def factor(table: pa.Table) -> pa.Table:
+        forget()
         hashes, size = _hashed(table.select(["ctx"]))
         offset = np.concatenate([[0], np.cumsum(size)])
         owner = np.repeat(np.arange(len(size)), size)

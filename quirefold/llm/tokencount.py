@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.bpe import CACHE_CHARS, byte_symbols
-from quirefold.llm.common import read, small_batches, tidy
+from quirefold.llm.common import keeps, read, small_batches, tidy
 
 #: The splitting pattern of the word-end vocabulary file (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -139,6 +139,9 @@ def counter(path: str) -> WordEndCounter:
     return WordEndCounter(path)
 
 
+keeps("tokencount", counter.cache_clear)
+
+
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", group: int = 256) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of ``df``. ``group``: texts whose pre-tokens are merged together."""
 
@@ -152,7 +155,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    return df.select(id_col, text_col).mapInArrow(tidy(run, "tokencount"), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
 
 
 def default_path() -> str:
