@@ -28,7 +28,7 @@ from quirefold.llm.common import keeps, read, small_batches, tidy
 #: The byte-level splitting pattern of the vocabulary files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries each worker keeps of pre-tokens met more than once, of those met lately, and of pairs, before it starts afresh.
-CACHE_ENTRIES, LATELY_ENTRIES, PAIR_ENTRIES = 120_000, 40_000, 150_000
+CACHE_ENTRIES, LATELY_ENTRIES, PAIR_ENTRIES = 250_000, 120_000, 200_000
 #: Longer pre-tokens are not kept in a cache: they hardly come again, and may be very long.
 CACHE_CHARS = 64
 
@@ -119,6 +119,18 @@ class ByteBpe(Decoder):
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         text = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        # The search's first try: the longest match at every place. Mostly all its pairs are compatible.
+        fits = self.compatible
+        first = [token for _, (_, token) in self.automaton.iter_long(text)]
+        for pair in zip(first, first[1:]):
+            ok = fits.get(pair)
+            if ok is None:
+                ok = fits[pair] = self._fits(*pair)
+            if not ok:
+                return self._search(text)
+        return tuple(first)
+
+    def _search(self, text: str) -> tuple[int, ...]:
         n = len(text)
         found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (length, token) in self.automaton.iter(text):
