@@ -274,9 +274,6 @@ def _ruled(spark, d):
     return facts.normalize_facts(P.facts(spark, d)).where("not junk").drop("junk")
 
 
-_REP = "arg_min({0}, [-length(statement), ord])"
-
-
 @query(f"""with {P.RULED} select doc_id, fact_type, arg_min(fact_id, (-length(statement), fact_id)) as fact_id, arg_min(statement, (-length(statement), fact_id)) as statement,
   case when count(*) = 1 then any_value(strength) else {S.listed(T.STRENGTHS)}[max(list_position({S.listed(T.STRENGTHS)}, strength))] end as strength, bool_or(requires_human_review) as requires_human_review, count(*) - 1 as merged
 from ruled group by doc_id, fact_type, fp""")
