@@ -93,10 +93,14 @@ def tidy(run, but: str = ""):
     return tidied
 
 
+#: Rows of an Arrow batch that holds whole texts; both sides of the pipe hold several batches at a time.
+BATCH_ROWS = 300
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     """Arrow batches of whole texts small enough for the Python workers' share of an executor."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 

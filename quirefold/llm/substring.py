@@ -168,7 +168,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     clean = keyed.where("not maybe").withColumn("spans", F.lit(None).cast("array<struct<s:int,e:int>>"))
 
     def cut(batches):
-        for b in batches:
+        for whole_rows in batches:
+            rows = whole_rows.column(0)
+            b = pa.RecordBatch.from_arrays([rows, rows.field(text_col), whole_rows.column(1)], ["row", "t", "spans"])
             for part in batches_of(b, 1):
                 w = Words(part.column(1))
                 n = np.diff(w.offset)
@@ -182,7 +184,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = np.where(n > 0, kept, 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), _i64(n), _i64(n - kept), pa.array(_joined(w, keep), pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"])
 
-    both = touched.select("row", F.col(f"row.`{text_col}`").alias("t"), "spans").union(clean.select("row", F.col(f"row.`{text_col}`").alias("t"), "spans"))
+    both = touched.select("row", "spans").union(clean.select("row", "spans"))
     out = both.mapInArrow(tidy(cut), _out_schema(keyed.schema["row"]))
     return out.select(*[F.col(f"row.`{c}`") for c in docs.columns], "n_words", "n_removed", "kept")
 
