@@ -542,6 +542,12 @@ def hard_wrap(spark, d):
     return P.lines(spark, d).where("line_no <= 3").select("doc_id", "line_no", F.posexplode(cleanup.hard_wrap(F.col("text"), 40)).alias("part", "line"))
 
 
+@query()
+def whole_hard_wrap(spark, d):
+    """Every line; ``hard_wrap`` takes each document's first three, as its SQL does."""
+    return P.lines(spark, d).select("doc_id", "line_no", F.posexplode(cleanup.hard_wrap(F.col("text"), 40)).alias("part", "line"))
+
+
 @query()
 def html_blocks(spark, d):
     return html.page_blocks(spark.read.parquet(f"{d}/pages.parquet"))
