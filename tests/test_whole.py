@@ -27,3 +27,18 @@ def test_every_line_is_wrapped(spark, tmp_path):
     got = {(r.doc_id, r.line_no, r.part): r.line for r in catalog.QUERIES["whole_hard_wrap"](spark, d).collect()}
     want = {(r.doc_id, r.line_no, k): x for r in P.lines(spark, d).collect() for k, x in enumerate(wrapped(r.text))}
     assert got == want and max(n for _, n, _ in got) == 8
+
+
+def test_reports_show_citations_of_later_lines(spark, tmp_path):
+    d = table(spark, tmp_path, ["\n".join(f"Line {i} tells of the {i}th thing at some length" for i in range(1, 161))])
+    cited = {}
+    for n in catalog._reports(spark, d)[2].where("citations is not null").collect():
+        cited[n.node_id] = [(c.line_start, c.line_end) for c in n.citations]
+    audit = catalog.QUERIES["audit_markdown"](spark, d).first().markdown
+    for node, spans in cited.items():
+        part = audit.split(f"### `{node}`")[1].split("### `")[0]
+        assert f"_Citations: {len(spans)}_" in part and ("_Showing first 12 citations" in part) == (len(spans) > 12)
+        assert all(f"[c0001:{a}-{b}]" in part for a, b in spans[:12])
+    assert max(map(len, cited.values())) > 12 and any(a > 100 for spans in cited.values() for a, _ in spans)
+    reading = catalog.QUERIES["reading_markdown"](spark, d).first().markdown
+    assert all(f"c0001:{a}-{b}" in reading for spans in cited.values() for a, b in spans)
