@@ -580,7 +580,7 @@ def rule_extractor():
 
     def extract(prompt: str) -> str:
         found = [(int(m[1]), m[2]) for m in re.finditer(r"(?m)^(\d+)\. (.*(?:tion|the|ung|que).*)$", prompt)]
-        out = [{"fact_type": "warning" if n % 2 else "other", "statement": t[:60], "citations": [{"line_start": n, "line_end": n + 2}]} for n, t in found[:3]]
+        out = [{"fact_type": "warning" if n % 2 else "other", "statement": t, "citations": [{"line_start": n, "line_end": n + 2}]} for n, t in found]
         text = json.dumps({"extracted_facts": out})
         return text if len(out) % 2 or not out else text[:-2] + ', {"fact_type": "ot'
 

@@ -42,3 +42,9 @@ def test_reports_show_citations_of_later_lines(spark, tmp_path):
     assert max(map(len, cited.values())) > 12 and any(a > 100 for spans in cited.values() for a, _ in spans)
     reading = catalog.QUERIES["reading_markdown"](spark, d).first().markdown
     assert all(f"c0001:{a}-{b}" in reading for spans in cited.values() for a, b in spans)
+
+
+def test_every_cue_line_is_a_fact(spark, tmp_path):
+    texts = [[f"The question {i} of document {d} is what becomes of a statement of more than sixty characters" for i in range(n)] for d, n in enumerate((1, 4, 20, 47))]
+    facts = catalog.QUERIES["extracted_facts"](spark, table(spark, tmp_path, ["\n".join(t) for t in texts])).collect()
+    assert sorted((r.doc_id, r.ord, r.statement) for r in facts) == [(d, i, x) for d, t in enumerate(texts) for i, x in enumerate(t, 1)]
