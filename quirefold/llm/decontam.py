@@ -1,14 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose their outer punctuation and case; numbers, names (capitalised inside a sentence) and units (after a number) become
-typed placeholders. Windows of template tokens are hash-joined between documents and benchmark items. The windows of one
-document, item and diagonal (place in the text less place in the item) are one alignment; it counts if its slots are
-consistent: each value of the item's slots stands for one value of the document, so the item itself, or the item with other
-numbers and names put in throughout, but not a text that merely has the same shape. A document is contaminated by
-an item if consistent alignments cover at least ``least`` of the item's windows.
-
-Windows with fewer than ``literals`` plain words keep their values instead of placeholders: they must be equal, and equal a
-window of plain words too, so a passage in capitals is still found.
+Words lose their outer punctuation and case; numbers, names (capitalised inside a sentence) and units (after a number) become typed
+placeholders. Each window has up to three readings: all values as they are; numbers and units as slots; capitalised words
+inside a sentence too. The first two do not depend on letter case, so an item in small or capital letters is
+found. Windows of template tokens are hash-joined between documents
+and benchmark items. The windows of one document, item, diagonal (place in the text less place in the item) and reading are one
+alignment; it counts if its slots are consistent: each value of the item's slots stands for one value of the document, so the
+item itself, or the item with other numbers and names put in throughout, but not a text that merely has the same shape. A
+document is contaminated by an item if consistent alignments cover at least ``least`` of the item's windows.
+
+A reading that leaves a window fewer than ``literals`` plain words is not used. Other names in a text of one case are not found.
 Only windows that pass a Bloom filter of the benchmark's (of bounded size) leave a document, so the join's input is small
 on both sides and Spark picks its kind by size.
 
@@ -44,7 +45,8 @@ _STOP[[ord(c) for c in ".!?:;"]] = True
 
 
 class Template:
-    """Template tokens of a batch: ``value`` and ``shape`` hashes, ``slot`` (not a plain word), ``offset`` of each text's tokens."""
+    """Template tokens of a batch: ``value`` hashes, ``offset`` of each text's tokens, and for each reading ``slot`` (not a plain
+    word) and ``shape`` hashes. A reading's slots hold those of the reading before it."""
 
     def __init__(self, texts: pa.Array):
         w = Words(texts)
@@ -82,25 +84,30 @@ class Template:
         at = np.flatnonzero(keep)
         prev = np.concatenate([[-1], at[:-1]]) if len(at) else at
         fresh = run[at + 1] > run[prev + 1]
-        name = capital[f] & ~fresh & ~number
         unit = np.isin(self.value, _unit_hashes()) & np.concatenate([[False], number[:-1] & (doc[1:] == doc[:-1])]) if len(at) else number
-        name &= ~unit
-        self.slot = number | name | unit
-        self.shape = np.where(number, _NUMBER, np.where(name, _NAME, np.where(unit, _UNIT, self.value)))
-
-    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First tokens of all windows of ``size`` tokens within a text, their hashes, and whether they keep their values."""
+        name = capital[f] & ~number & ~unit
+        self.slot = [np.zeros(len(f), bool), number | unit, number | unit | name & ~fresh]
+        kind = np.where(number, _NUMBER, np.where(unit, _UNIT, _NAME))
+        self.shape = [np.where(slot, kind, self.value) for slot in self.slot]
+
+    def windows(self, size: int, literals: int):
+        """(reading, first tokens, hashes, readings) of the windows of ``size`` tokens within a text, each under every reading that
+        differs from those before it; ``readings``: bits of all readings in which the window is the same."""
         n = np.maximum(np.diff(self.offset) - size + 1, 0)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.offset[:-1], n)
-        plain = np.concatenate([[0], np.cumsum(~self.slot)])
-        poor = plain[at + size] - plain[at] < min(literals, size)
-        shape = span_hash(self.shape, at, at + size)
-        return at, np.where(poor, span_hash(self.value, at, at + size), shape), poor
-
-    def slots(self, at: int, size: int) -> list[tuple[int, int]]:
+        count = []
+        for slot in self.slot:
+            sums = np.concatenate([[0], np.cumsum(slot, dtype=np.int32)])
+            count.append(sums[at + size] - sums[at])
+        for k, shape in enumerate(self.shape):
+            use = (count[k] > count[k - 1]) & (count[k] <= size - min(literals, size)) if k else np.ones(len(at), bool)
+            bits = sum((count[r][use] == count[k][use]).astype(np.int32) << r for r in range(k, len(self.shape)))
+            yield k, at[use], span_hash(shape, at[use], at[use] + size), bits
+
+    def slots(self, reading: int, at: int, size: int) -> list[tuple[int, int]]:
         """(type, value) hashes of the slots of a window."""
-        i = np.flatnonzero(self.slot[at : at + size]) + at
-        return list(zip(self.shape[i].view(np.int64).tolist(), self.value[i].view(np.int64).tolist()))
+        i = np.flatnonzero(self.slot[reading][at : at + size]) + at
+        return list(zip(self.shape[reading][i].view(np.int64).tolist(), self.value[i].view(np.int64).tolist()))
 
 
 _units: list[np.ndarray] = []
@@ -115,19 +122,19 @@ def _unit_hashes() -> np.ndarray:
 SLOTS = "array<struct<kind:long,value:long>>"
 
 
-def _emit(part: pa.RecordBatch, ids: list[int], t: Template, size: int, at: np.ndarray, h: np.ndarray, poor: np.ndarray):
+def _emit(part: pa.RecordBatch, ids: list[int], t: Template, size: int, reading: int, at: np.ndarray, h: np.ndarray, bits: np.ndarray | None = None):
     doc = np.searchsorted(t.offset, at, "right") - 1
     d = pa.array(doc)
-    # Windows that keep their values have no slots to check.
-    slots = [[] if p else [{"kind": a, "value": b} for a, b in t.slots(x, size)] for x, p in zip(at.tolist(), poor.tolist())]
+    slots = [[{"kind": a, "value": b} for a, b in t.slots(reading, x, size)] if reading else [] for x in at.tolist()]
     kind = pa.list_(pa.struct([("kind", pa.int64()), ("value", pa.int64())]))
-    return pa.RecordBatch.from_arrays([*(part.column(c).take(d) for c in ids), pa.array(h.view(np.int64)), pa.array((at - t.offset[doc]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(slots, kind)], [*(part.schema.names[c] for c in ids), "h", "pos", "size", "slots"])
+    more = {} if bits is None else {"readings": pa.array([[r for r in range(len(t.slot)) if b >> r & 1] for b in bits.tolist()], pa.list_(pa.int32()))}
+    return pa.RecordBatch.from_arrays([*(part.column(c).take(d) for c in ids), pa.array(h.view(np.int64)), pa.array((at - t.offset[doc]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(slots, kind), *more.values()], [*(part.schema.names[c] for c in ids), "h", "pos", "size", "slots", *more])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, least: float = LEAST) -> DataFrame:
     """(id, key, item, covered, verbatim) for every document and item that contaminates it.
 
-    ``key``: a hash of id and text; ``covered``: share of the item's windows; ``verbatim``: all slots have the item's values.
+    ``key``: a hash of id and text; ``covered``: share of the item's windows; ``verbatim``: all of them have the item's values.
     """
     spark = small_batches(docs.sparkSession)
     item_kind, doc_kind = (x.schema[c].dataType.simpleString() for x, c in ((benchmark, item_col), (docs, id_col)))
@@ -140,12 +147,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 for s in np.unique(np.minimum(size, window)).tolist():
                     if not s:
                         continue
-                    at, h, poor = t.windows(s, literals)
-                    doc = np.searchsorted(t.offset, at, "right") - 1
-                    mine = np.minimum(size[doc], window) == s
-                    yield _emit(part, [0], t, s, at[mine], h[mine], poor[mine])
+                    for reading, at, h, bits in t.windows(s, literals):
+                        doc = np.searchsorted(t.offset, at, "right") - 1
+                        mine = np.minimum(size[doc], window) == s
+                        yield _emit(part, [0], t, s, reading, at[mine], h[mine], bits[mine])
 
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).distinct().mapInArrow(cut_items, f"item {item_kind}, h long, pos int, size int, slots {SLOTS}")
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).distinct().mapInArrow(cut_items, f"item {item_kind}, h long, pos int, size int, slots {SLOTS}, readings array<int>")
     items = store(items, "decontam-items")
     sizes = items.groupBy("size").agg(F.count("*").alias("c")).collect()  # at most ``window`` rows
     blooms = spark.sparkContext.broadcast({r["size"]: bloom.collect(items.where(F.col("size") == r["size"]), F.col("h"), r["c"]) for r in sizes})
@@ -155,22 +162,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             for part in batches_of(b, 2):
                 t = Template(part.column(2))
                 for size, sieve in blooms.value.items():
-                    at, h, poor = t.windows(size, literals)
-                    hit = bloom.test(sieve, h)
-                    if hit.any():
-                        yield _emit(part, [0, 1], t, size, at[hit], h[hit], poor[hit])
+                    for reading, at, h, _ in t.windows(size, literals):
+                        hit = bloom.test(sieve, h)
+                        if hit.any():
+                            yield _emit(part, [0, 1], t, size, reading, at[hit], h[hit])
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
     found = texts.mapInArrow(tidy(scan), f"id {doc_kind}, key long, h long, pos int, size int, slots {SLOTS}")
-    right = items.select("item", "h", "size", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    pairs = found.join(right, ["h", "size"]).select("id", "key", "item", "size", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", F.arrays_zip("item_slots", "slots").alias("z"))
+    right = items.select("item", "h", "size", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "readings")
+    pairs = found.join(right, ["h", "size"]).select("id", "key", "item", "size", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", F.arrays_zip("item_slots", "slots").alias("z"), F.explode("readings").alias("reading"))
     # Each (kind, item's value) may stand for one value only; equal hashes have equal kinds place by place.
     filled = F.transform("z", lambda z: F.struct(z["item_slots"]["kind"].alias("kind"), z["item_slots"]["value"].alias("a"), z["slots"]["value"].alias("b")))
-    line = pairs.groupBy("id", "key", "item", "diagonal").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("slots"))
+    line = pairs.groupBy("id", "key", "item", "diagonal", "reading").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["a"]))))
-    same = F.forall("slots", lambda s: s["a"] == s["b"])
     total = items.groupBy("item").agg(F.countDistinct("pos").alias("total"))
-    best = line.where(consistent).groupBy("id", "key", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.bool_and(same).alias("verbatim"))
+    places = lambda at: F.size(F.array_distinct(F.flatten(F.collect_list(at))))
+    best = line.where(consistent).groupBy("id", "key", "item").agg(places(F.col("at")).alias("n"), places(F.when(F.col("reading") == 0, F.col("at"))).alias("same"))
+    best = best.withColumn("verbatim", F.col("n") == F.col("same"))
     share = F.col("n") / F.col("total")
     return best.join(total, "item").where(share >= least).select(F.col("id").alias(id_col), "key", F.col("item").alias(item_col), F.round(share, 4).alias("covered"), "verbatim")
 
