@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose their outer punctuation and case; numbers, names (capitalised inside a sentence) and units (after a number) become typed
-placeholders. Each window has up to three readings: all values as they are; numbers and units as slots; capitalised words
-inside a sentence too. The first two do not depend on letter case, so an item in small or capital letters is
-found. Windows of template tokens are hash-joined between documents
+Words lose their outer punctuation and case; numbers, names (capitalised) and units (after a number) become typed
+placeholders. Each window has up to four readings: all values as they are; numbers and units as slots; capitalised words
+inside a sentence too; and those that begin one too. The first two do not depend on letter case, so an item in small or capital letters is
+found; the last finds an item whose sentences begin with a name. Windows of template tokens are hash-joined between documents
 and benchmark items. The windows of one document, item, diagonal (place in the text less place in the item) and reading are one
 alignment; it counts if its slots are consistent: each value of the item's slots stands for one value of the document, so the
 item itself, or the item with other numbers and names put in throughout, but not a text that merely has the same shape. A
@@ -86,7 +86,7 @@ class Template:
         fresh = run[at + 1] > run[prev + 1]
         unit = np.isin(self.value, _unit_hashes()) & np.concatenate([[False], number[:-1] & (doc[1:] == doc[:-1])]) if len(at) else number
         name = capital[f] & ~number & ~unit
-        self.slot = [np.zeros(len(f), bool), number | unit, number | unit | name & ~fresh]
+        self.slot = [np.zeros(len(f), bool), number | unit, number | unit | name & ~fresh, number | unit | name]
         kind = np.where(number, _NUMBER, np.where(unit, _UNIT, _NAME))
         self.shape = [np.where(slot, kind, self.value) for slot in self.slot]
 

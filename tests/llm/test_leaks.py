@@ -1,9 +1,13 @@
-"""Contaminated documents that letter case must not hide."""
+"""Contaminated documents that letter case or a sentence's first word must not hide."""
+
+import pytest
 
 from quirefold.llm import decontam
 
 PENCILS = "On Monday the teacher Mr Brown gave 24 pencils to Anna and 36 pencils to Peter. If Anna then gives 6 of the pencils to Peter, how many pencils does Anna have?"
 APFEL = "Am Montag kauft Anna auf dem Markt 12 Birnen und 5 Gurken, und ihr Bruder Paul isst davon 3 Birnen und eine Gurke. Wie viel bleibt Anna?"
+CLIPS = "Natalia sold 48 clips in April. Natalia then sold 24 clips in May. Natalia gave 12 clips to her friends. How many clips did Natalia have at the end of it all?"
+PENS = "Tom has 12 red pens. Tom buys 5 more pens. Tom then gives 3 pens to the school. Tom lost 2 of the pens. How many pens are left now?"
 
 
 def leaks(spark, items, docs):
@@ -16,3 +20,13 @@ def test_letter_case_does_not_hide_an_item(spark):
     got = leaks(spark, [PENCILS, APFEL], ["so: " + PENCILS.lower() + " yes", PENCILS.upper(), APFEL.lower(), APFEL.upper(), other, PENCILS.lower().replace("pencils", "long red pens")])
     assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 0)}
     assert all(got[k].covered == 1 and got[k].verbatim for k in [(0, 0), (1, 0), (2, 1), (3, 1)]) and not got[4, 0].verbatim
+
+
+@pytest.mark.parametrize("item,name,numbers", [(CLIPS, "Natalia", ("48", "24", "12")), (PENS, "Tom", ("12", "5", "3", "2"))])
+def test_first_words_are_names_too(spark, item, name, numbers):
+    changed = item.replace(name, "Igor")
+    for n in numbers:
+        changed = changed.replace(f" {n} ", f" {int(n) + 100} ")
+    mixed = changed.replace("Igor", "Olga", 2)
+    got = leaks(spark, [item], ["Some text before. " + changed + " And after.", mixed])
+    assert set(got) == {(0, 0)} and got[0, 0].covered > 0.9 and not got[0, 0].verbatim
