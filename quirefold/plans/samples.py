@@ -46,14 +46,27 @@ def pick(values, n):
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fact for every line: type, strength and cue by its numbers, every other one with the line's beginning."""
+    """A fact for every line: type, strength and cue by its numbers, every fourth with the line's beginning."""
+    n = F.col("line_no")
+    cue = pick(CUES, F.col("doc_id") * 7 + n)
+    return _facts(lines(spark, sf_dir), n, F.when(n % 4 == 0, F.concat(cue, F.lit(" "), F.left("text", F.lit(24)))).otherwise(cue))
+
+
+def whole_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two facts for every line: its cue with the whole line, and the bare cue."""
+    n = F.col("line_no")
+    cue = pick(CUES, F.col("doc_id") * 7 + n)
+    rows = lines(spark, sf_dir).withColumn("bare", F.explode(F.array(F.lit(0), F.lit(1))))
+    return _facts(rows, n * 2 - 1 + F.col("bare"), F.when(F.col("bare") == 0, F.concat(cue, F.lit(" "), "text")).otherwise(cue))
+
+
+def _facts(rows: DataFrame, ord_, statement) -> DataFrame:
     d, n = F.col("doc_id"), F.col("line_no")
-    cue = pick(CUES, d * 7 + n)
     some = lambda k, r, head: F.when(n % k == r, F.concat(F.lit(head), n.cast("string")))
     cite = F.struct(F.lit("c0001").alias("chunk_id"), F.greatest(n - 1, F.lit(1)).alias("line_start"), (n + 1).alias("line_end"), F.when(n % 2 == 1, F.lit("q")).alias("quote"))
-    return lines(spark, sf_dir).select(
-        "doc_id", n.cast("int").alias("ord"), T.numbered_id("f", n).alias("fact_id"), pick(T.FACT_TYPES, d + n).alias("fact_type"),
-        F.when(n % 4 == 0, F.concat(cue, F.lit(" "), F.left("text", F.lit(24)))).otherwise(cue).alias("statement"), pick(T.STRENGTHS, d + n * 2).alias("strength"),
+    return rows.select(
+        "doc_id", ord_.cast("int").alias("ord"), T.numbered_id("f", ord_).alias("fact_id"), pick(T.FACT_TYPES, d + n).alias("fact_type"),
+        statement.alias("statement"), pick(T.STRENGTHS, d + n * 2).alias("strength"),
         (n % 3 == 0).alias("requires_human_review"), some(4, 1, "s").alias("subject"), some(5, 1, "c").alias("condition"), some(3, 2, "a").alias("action"), some(2, 0, "n").alias("notes"),
         F.lit(None).cast("string").alias("raw"), F.array(cite, F.struct(F.lit("c0001").alias("chunk_id"), F.lit(1).cast("long").alias("line_start"), F.lit(2).cast("long").alias("line_end"), some(7, 3, "r").alias("quote"))).alias("citations"),
     )
@@ -69,6 +82,11 @@ facts as (
     [{{'chunk_id': 'c0001', 'line_start': greatest(line_no - 1, 1), 'line_end': line_no + 1, 'quote': case when line_no % 2 = 1 then 'q' end}},
      {{'chunk_id': 'c0001', 'line_start': 1, 'line_end': 2, 'quote': case when line_no % 7 = 3 then 'r' || line_no end}}] as citations
   from cued)"""
+WHOLE_FACTS = (
+    FACTS.replace("line_no::int as ord, printf('f%04d', line_no)", "(line_no * 2 - 1 + bare)::int as ord, printf('f%04d', line_no * 2 - 1 + bare)")
+    .replace("case when line_no % 4 = 0 then cue || ' ' || left(text, 24) else cue end", "case when bare = 0 then cue || ' ' || text else cue end")
+    .replace("from cued)", "from cued cross join (values (0), (1)) b(bare))")
+)
 RULED = f"""{FACTS},
 n1 as (select * replace ({S.normalize('statement')} as statement) from facts),
 n2 as (select * replace ({S.fact_type('statement', 'fact_type')} as fact_type) from n1 where not {S.junk('statement')}),
