@@ -28,12 +28,12 @@ def query(sql: str | None = None):
 
 
 def fact_query(sql: str):
-    """Registers a query of ``P.facts``, and as ``whole_...`` the same of ``P.whole_facts``."""
+    """Registers a query of ``P.facts``, and as ``whole_...`` the same of ``P.whole_facts``, without the SQL's cuts."""
 
     def add(f):
         whole = lambda spark, d: f(spark, d, P.whole_facts)
         whole.__name__ = f"whole_{f.__name__}"
-        query(sql.replace(P.FACTS, P.WHOLE_FACTS))(whole)
+        query(sql.replace(P.FACTS, P.WHOLE_FACTS).replace(" where doc_id % 7 <> 3 or fact_type <> 'red_flag'", ""))(whole)
         return query(sql)(f)
 
     return add
@@ -359,7 +359,8 @@ p as (select doc_id, bucket, ls, le, quote, row_number() over (partition by doc_
 
 
 def _bucket_facts(spark, d, source=P.facts):
-    return _ruled(spark, d, source).where("doc_id % 7 <> 3 or fact_type <> 'red_flag'")
+    rows = _ruled(spark, d, source)
+    return rows if source is P.whole_facts else rows.where("doc_id % 7 <> 3 or fact_type <> 'red_flag'")
 
 
 _NODES = " union all ".join(
