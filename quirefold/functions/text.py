@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as str.isspace has it, for Java and RE2 alike.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Line ends as str.splitlines has them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+OTHER_SPACE = SPACE.replace(r"\x1c-\x20", r"\x1c-\x1f")
+#: The same white space, one sign after another.
+SPACE_SIGNS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 DASH = r"[\x{2010}-\x{2014}]"
-#: What normalisation deletes, and what tokenisation turns into a space.
+#: What normalisation deletes, and what stands between tokens.
 DROPPED = rf"[^\p{{L}}\p{{N}}_/%.:\-()\x{{2019}}'{SPACE[1:-1]}]+"
-NO_TOKEN = rf"[^\p{{L}}\p{{N}}_/%.'{SPACE[1:-1]}]"
+NO_TOKEN = r"[^\p{L}\p{N}_/%.']+"
 LOWER_FIRST = r"^(?U)\p{Lower}"
 
 # Words that matching ignores, English then French.
@@ -72,17 +75,23 @@ STRENGTH_CUES = {
 }
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, whatever uses them: Spark neither merges a generator of one row with the
+    projections above nor pushes filters on its columns below it, which would evaluate the same expression again."""
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[x.alias(k) for k, x in columns.items()]))))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_SIGNS))
 
 
 def strip_end(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+$", "")
+    return F.rtrim(c, F.lit(SPACE_SIGNS))
 
 
 def squeeze(c: Column) -> Column:
-    """Runs of white space as one space."""
-    return F.regexp_replace(c, f"{SPACE}+", " ")
+    """Runs of white space as one space; single plain spaces are no matches, as most are of that kind."""
+    return F.regexp_replace(c, rf"{SPACE}{{2,}}|{OTHER_SPACE}", " ")
 
 
 def any_of(c: Column, cues) -> Column:
@@ -91,9 +100,9 @@ def any_of(c: Column, cues) -> Column:
 
 
 def split_lines(c: Column) -> Column:
-    """array of the text's lines; a line end at the very end starts no line."""
-    lines = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    """array of the text's lines; a line end at the very end starts no line, and the empty text has none."""
+    closed = F.regexp_replace(c, rf"(?:{LINE_END})\z", "")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(closed, LINE_END, -1))
 
 
 def normalize_text(c: Column) -> Column:
@@ -105,13 +114,13 @@ def normalize_text(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(F.lower(c), DASH, " "), NO_TOKEN, " ")
-    return F.filter(F.split(strip(squeeze(t)), " ", -1), lambda x: x != "")
+    """Runs of letters, digits and the few signs that stay, in lower case."""
+    return F.filter(F.split(F.lower(c), NO_TOKEN, -1), lambda x: x != "")
 
 
-def fingerprint(c: Column) -> Column:
-    """Sorted tokens without stop words and lone letters; repeats stay."""
-    kept = F.filter(tokenize(c), lambda x: ~x.isin(*STOP_WORDS) & ((F.length(x) >= 2) | x.rlike("^[0-9]+$")))
+def fingerprint(c: Column, tokens: Column | None = None) -> Column:
+    """Sorted tokens without stop words and lone letters; repeats stay. ``tokens``: those of the text, if known."""
+    kept = F.filter(tokenize(c) if tokens is None else tokens, lambda x: ~x.isin(*STOP_WORDS) & ((F.length(x) >= 2) | x.rlike("^[0-9]+$")))
     return F.array_join(F.array_sort(kept), " ")
 
 
@@ -124,8 +133,8 @@ def is_footer_like(c: Column) -> Column:
     return any_of(F.lower(c), FOOTER_MARKS) | is_page_number(c)
 
 
-def is_header_or_junk(c: Column, min_chars: int = 10) -> Column:
-    tokens = tokenize(c)
+def is_header_or_junk(c: Column, min_chars: int = 10, tokens: Column | None = None) -> Column:
+    tokens = tokenize(c) if tokens is None else tokens
     heads = F.size(F.filter(tokens, lambda x: x.isin(*HEADER_WORDS)))
     return (F.length(c) < min_chars) | (F.size(tokens) == 0) | ((heads >= 2) & (F.size(tokens) <= 10)) | F.coalesce(F.try_element_at(tokens, F.lit(1)).isin(*CAPTION_WORDS), F.lit(False))
 
@@ -136,8 +145,8 @@ def alias_fact_type(c: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(strip(c))), c)
 
 
-def refine_fact_type(statement: Column, current: Column) -> Column:
-    s = F.lower(statement)
+def refine_fact_type(statement: Column, current: Column, low: Column | None = None) -> Column:
+    s = F.lower(statement) if low is None else low
     has = lambda rule: any_of(s, TYPE_CUES[rule])
     return (
         F.when(has("contraindication"), "contraindication")
@@ -151,8 +160,8 @@ def refine_fact_type(statement: Column, current: Column) -> Column:
     )
 
 
-def refine_strength(statement: Column, current: Column, fact_type: Column) -> Column:
-    s = F.lower(statement)
+def refine_strength(statement: Column, current: Column, fact_type: Column, low: Column | None = None) -> Column:
+    s = F.lower(statement) if low is None else low
     has = lambda rule: any_of(s, STRENGTH_CUES[rule])
     return (
         F.when(has("must"), "must")
@@ -200,3 +209,14 @@ def format_citation(chunk_id: Column, start: Column, end: Column) -> Column:
 def numbered_id(prefix: str, n: Column) -> Column:
     """f0001, f0002 ...; wider than four digits where needed."""
     return F.format_string(prefix + "%04d", n)
+
+
+def join_warnings(*lists: Column) -> Column:
+    """Warnings of one step after another; a step without any (null) adds none."""
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.coalesce(x, none) for x in lists])
+
+
+def merge_meta(base: Column, more: Column) -> Column:
+    """One level of two maps as one: a key of ``more`` takes the place of the same key of ``base``."""
+    return F.when(base.isNull(), more).when(more.isNull(), base).otherwise(F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(more), k)), more))

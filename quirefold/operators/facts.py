@@ -6,15 +6,17 @@ citations array<struct<chunk_id, line_start, line_end, quote>>); ``ord`` is the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
+from quirefold.operators import trace
 
 OPTIONAL = ("subject", "condition", "action", "notes", "raw")
 CITATION = "struct<chunk_id:string,line_start:bigint,line_end:bigint,quote:string>"
@@ -35,30 +37,34 @@ class NormalizeConfig:
 
 def normalize_facts(facts: DataFrame, config: NormalizeConfig = NormalizeConfig()) -> DataFrame:
     """Facts with their statement, type, strength and review flag by the rules, and ``junk``: whether the fact is to go."""
-    rows = facts.withColumn("statement", T.normalize_text(F.col("statement")))
-    rows = rows.withColumn("junk", T.is_header_or_junk(F.col("statement"), config.min_chars))
-    rows = rows.withColumn("fact_type", T.refine_fact_type(F.col("statement"), F.col("fact_type")))
-    rows = rows.withColumn("strength", T.refine_strength(F.col("statement"), F.col("strength"), F.col("fact_type")))
-    return rows.withColumn("requires_human_review", T.needs_review(F.col("strength"), F.col("requires_human_review")))
+    rows = T.once(facts, statement=T.normalize_text(F.col("statement")))
+    rows = T.once(rows, low=F.lower("statement"), tokens=T.tokenize(F.col("statement")))
+    low, statement = F.col("low"), F.col("statement")
+    rows = T.once(rows, junk=T.is_header_or_junk(statement, config.min_chars, F.col("tokens")), fact_type=T.refine_fact_type(statement, F.col("fact_type"), low))
+    rows = T.once(rows, strength=T.refine_strength(statement, F.col("strength"), F.col("fact_type"), low))
+    rows = rows.withColumn("requires_human_review", T.needs_review(F.col("strength"), F.col("requires_human_review")))
+    return rows.select(*facts.columns, "junk")
 
 
-def union_citations(lists: Column) -> Column:
-    """Of an array of citation arrays in order: one citation for each span, the first with a quote if any has one, sorted."""
-    flat = F.flatten(lists)
-    spans = F.array_distinct(F.transform(flat, lambda c: F.struct(c["chunk_id"], c["line_start"], c["line_end"])))
+def ordered_citations(lists: Column) -> Column:
+    """Of an array of citation arrays in order: all citations by span, those with a quote first, then as they came."""
+    place = lambda c, i: F.struct(c["chunk_id"], c["line_start"], c["line_end"], c["quote"].isNull(), i, c["quote"])
+    names = ("chunk_id", "line_start", "line_end", "bare", "nth", "quote")
+    return F.array_sort(F.transform(F.flatten(lists), place)).cast("array<struct<" + ",".join(f"{n}:{t}" for n, t in zip(names, ("string", "bigint", "bigint", "boolean", "int", "string"))) + ">>")
 
-    def best(s: Column) -> Column:
-        same = F.filter(flat, lambda c: (c["chunk_id"] == s["chunk_id"]) & (c["line_start"] == s["line_start"]) & (c["line_end"] == s["line_end"]))
-        quoted = F.filter(same, lambda c: c["quote"].isNotNull())
-        return F.coalesce(F.try_element_at(quoted, F.lit(1)), F.element_at(same, 1))
 
-    return F.transform(F.array_sort(spans), best)
+def first_of_spans(ordered: str) -> Column:
+    """Of a column of ``ordered_citations``: the first citation of each span."""
+    span = lambda c: F.struct(c["chunk_id"], c["line_start"], c["line_end"])
+    new = F.filter(ordered, lambda c, i: (i == 0) | ~span(c).eqNullSafe(span(F.get(ordered, i - 1))))
+    return F.transform(new, lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["line_start"].alias("line_start"), c["line_end"].alias("line_end"), c["quote"].alias("quote")))
 
 
 def merge_groups(facts: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One fact of each group: the longest statement's, then the smallest id's; the strongest strength, any review flag, all
     citations, and for each optional field the representative's or else the first in ``order``. Groups of one stay as they are.
-    ``merged``: facts that went into it, less one. Everything is a partial aggregate of the group."""
+    ``merged``: facts that went into it, less one. All but the citations, which gather in the group's row, are partial aggregates;
+    a group is of one document, so its row holds no more than the document cites."""
     rep_key = F.struct(-F.length("statement"), F.col("fact_id"))
     names = [c for c in facts.columns if c not in (*keys, order)]
     rep = F.min_by(F.struct(*names), rep_key)
@@ -73,6 +79,7 @@ def merge_groups(facts: DataFrame, keys: list[str], order: str) -> DataFrame:
         *first,
     )
     many = F.col("n") > 1
+    grouped = grouped.withColumn("cites", F.when(many, ordered_citations(F.col("lists.c")))).drop("lists")
 
     def out(c: str) -> Column:
         value = F.col(f"rep.{c}")
@@ -81,7 +88,7 @@ def merge_groups(facts: DataFrame, keys: list[str], order: str) -> DataFrame:
         elif c == "requires_human_review":
             value = F.col("any_review")
         elif c == "citations":
-            value = F.when(many, union_citations(F.col("lists.c"))).otherwise(value)
+            value = F.when(many, first_of_spans("cites")).otherwise(value)
         elif c in OPTIONAL:
             value = F.coalesce(value, F.col(f"first_{c}"))
         return value.alias(c)
@@ -95,31 +102,37 @@ def merge_exact(facts: DataFrame) -> DataFrame:
     return merge_groups(keyed, ["doc_id", "fact_type", "fingerprint"], "ord").drop("fingerprint")
 
 
+def _letter_counts(low: list[str]) -> np.ndarray:
+    """How often each statement has the signs of each of 128 buckets."""
+    code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32) % 128
+    size = np.array([len(s) for s in low], np.int64)
+    return np.bincount(np.repeat(np.arange(len(low)), size) * 128 + code, minlength=len(low) * 128).reshape(len(low), 128)
+
+
 def _leaders(low: list[str], threshold: float, cap: int) -> tuple[list[int], int]:
-    """Leader clustering: each statement in order takes those after it that are like it; a taken one leads no more.
+    """Leader clustering: the first of those that wait leads all that are like it, and they wait no longer.
 
-    The place of each one's leader, and how many scans the limit on comparisons cut short.
+    The place of each one's leader, and how many leaders could not look at all that waited, as ``cap`` comparisons were made.
+    Signs that two statements share bound their likeness from above, so few pairs are compared in full.
     """
-    size, leader, done, capped = [len(s) for s in low], [-1] * len(low), 0, 0
-    for i, a in enumerate(low):
-        if leader[i] >= 0:
-            continue
-        leader[i] = i
-        for j in range(i + 1, len(low)):
-            if leader[j] >= 0:
-                continue
-            done += 1
-            if done > cap:
-                capped += 1
-                break
-            total = size[i] + size[j]
-            # 2 * min is the most that can match; only then compare, the leader first.
-            if total and 2.0 * min(size[i], size[j]) / total < threshold:
-                continue
-            m = SequenceMatcher(None, a, low[j])
+    if len(low) < 2:
+        return list(range(len(low))), 0
+    counts = _letter_counts(low)
+    size = counts.sum(1)
+    leader, waiting, short = np.arange(len(low)), np.arange(len(low)), 0
+    while len(waiting) > 1 and cap:
+        head, rest = waiting[0], waiting[1:]
+        looked = rest[:cap]
+        cap -= len(looked)
+        short += len(looked) < len(rest)
+        total = size[head] + size[looked]
+        most = np.where(total > 0, 2.0 * np.minimum(counts[head], counts[looked]).sum(1) / np.maximum(total, 1), 1.0)
+        for i in looked[most >= threshold].tolist():
+            m = SequenceMatcher(None, low[head], low[i])
             if m.quick_ratio() >= threshold and m.ratio() >= threshold:
-                leader[j] = i
-    return leader, capped
+                leader[i] = head
+        waiting = rest[leader[rest] == rest]
+    return leader.tolist(), short + (0 if cap else max(0, len(waiting) - 1))
 
 
 def fuzzy_leaders(facts: DataFrame, config: NormalizeConfig = NormalizeConfig()) -> DataFrame:
@@ -153,16 +166,20 @@ def fuzzy_leaders(facts: DataFrame, config: NormalizeConfig = NormalizeConfig())
 
 
 def fuzzy_pairs(facts: DataFrame, threshold: float = 0.94) -> DataFrame:
-    """(doc_id, fact_type, a, b): pairs of facts of one type whose lengths leave the ratio open: the candidates of the fuzzy pass."""
-    left = facts.select("doc_id", "fact_type", F.col("ord").alias("a"), F.length("statement").alias("la"))
-    right = facts.select("doc_id", "fact_type", F.col("ord").alias("b"), F.length("statement").alias("lb"))
+    """(doc_id, fact_type, a, b): pairs of facts of one type whose lengths leave the ratio open: the candidates of the fuzzy pass.
+
+    Lengths are dealt to steps within which the ratio stays open, so a fact meets those of its own step and its neighbours' only.
+    """
+    step = F.floor(F.log(F.greatest(F.length("statement"), F.lit(1)).cast("double")) / F.log(F.lit((2 - threshold) / threshold))).cast("int")
+    side = lambda name, size, s: facts.select("doc_id", "fact_type", F.col("ord").alias(name), F.length("statement").alias(size), s.alias("step"))
+    left, right = side("a", "la", step), side("b", "lb", F.explode(F.array(step - 1, step, step + 1)))
     least, most = F.least("la", "lb"), F.greatest("la", "lb")
-    return left.join(right, ["doc_id", "fact_type"]).where((F.col("a") < F.col("b")) & (least * (2 - threshold) >= most * threshold)).select("doc_id", "fact_type", "a", "b")
+    return left.join(right, ["doc_id", "fact_type", "step"]).where((F.col("a") < F.col("b")) & (least * (2 - threshold) >= most * threshold)).select("doc_id", "fact_type", "a", "b")
 
 
-def merge_fuzzy(facts: DataFrame, config: NormalizeConfig = NormalizeConfig()) -> DataFrame:
-    led = fuzzy_leaders(facts, config)
-    rows = facts.drop("merged").join(led.drop("capped"), ["doc_id", "fact_type", "ord"])
+def merge_fuzzy(facts: DataFrame, config: NormalizeConfig = NormalizeConfig(), led: DataFrame | None = None) -> DataFrame:
+    """Facts of one leader are one. ``led``: their ``fuzzy_leaders``, if known. ``capped`` is that of the document and type."""
+    rows = facts.drop("merged").join(fuzzy_leaders(facts, config) if led is None else led, ["doc_id", "fact_type", "ord"])
     # Within a group the order is that of the statements; the merged fact keeps the leader's ord.
     merged = merge_groups(rows.drop("ord"), ["doc_id", "fact_type", "leader"], "place")
     return merged.withColumnRenamed("leader", "ord").drop("place")
@@ -176,8 +193,8 @@ def tighten_citations(facts: DataFrame, lines: DataFrame, max_window: int = 4) -
     """
     cited = facts.select("doc_id", "ord", T.normalize_text(F.col("statement")).alias("statement"), F.posexplode("citations").alias("nth", "c"))
     cited = cited.select("doc_id", "ord", "nth", F.lower("statement").alias("wanted"), "c.*")
-    lo, hi = F.least("line_start", "line_end"), F.greatest("line_start", "line_end")
-    spans = cited.where("wanted <> ''").select("doc_id", "ord", "nth", "wanted", F.explode(F.sequence(lo, hi)).alias("line_no"))
+    asked = cited.where("wanted <> ''").select("doc_id", "ord", "nth", "wanted", F.least("line_start", "line_end").alias("lo"), F.greatest("line_start", "line_end").alias("hi"))
+    spans = trace.spans(asked, lines, F.col("lo"), F.col("hi")).drop("lo", "hi")
     clean = lines.select("doc_id", "line_no", F.lower(T.normalize_text(F.col("text"))).alias("line"))
     present = spans.join(clean, ["doc_id", "line_no"])
     order = Window.partitionBy("doc_id", "ord", "nth").orderBy("line_no")
@@ -202,38 +219,31 @@ def number_facts(facts: DataFrame, by_statement: bool = True) -> DataFrame:
     return facts.withColumn("fact_id", T.numbered_id("f", n))
 
 
-def canonical_facts(facts: DataFrame, lines: DataFrame | None = None, config: NormalizeConfig = NormalizeConfig()) -> tuple[DataFrame, DataFrame]:
-    """The clean facts, and (doc_id, dropped, exact_merges, fuzzy_merges, tightened, warnings) of each document."""
-    ruled = normalize_facts(facts, config)
-    exact = merge_exact(ruled.where("not junk").drop("junk"))
-    led = fuzzy_leaders(exact, config)
-    fuzzy = merge_fuzzy(exact, config)
-    moved = None
-    clean = fuzzy.drop("merged")
+def canonical_facts(facts: DataFrame, lines: DataFrame | None = None, config: NormalizeConfig = NormalizeConfig(), keep: Callable[[str, Callable[[], DataFrame]], DataFrame] = lambda name, make: make()) -> tuple[DataFrame, DataFrame]:
+    """The clean facts, and (doc_id, dropped, exact_merges, fuzzy_merges, tightened, warnings) of each document.
+
+    ``keep`` may write a step's table (name, how to make it) and read it again; both results and the steps after share it.
+    """
+    ruled = keep("facts_ruled", lambda: normalize_facts(facts, config))
+    exact = keep("facts_exact", lambda: merge_exact(ruled.where("not junk").drop("junk")))
+    merged = keep("facts_merged", lambda: merge_fuzzy(exact, config))
     if lines is not None:
-        tight = tighten_citations(clean, lines, config.tighten_window)
-        moved = tight.groupBy("doc_id").agg(F.count_if("moved").alias("tightened"))
+        tight = tighten_citations(merged, lines, config.tighten_window)
         row = F.struct("nth", F.struct("chunk_id", "line_start", "line_end", "quote").alias("c"))
-        again = tight.groupBy("doc_id", "ord").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["c"]).alias("citations"))
-        clean = clean.drop("citations").join(again, ["doc_id", "ord"], "left")
-    clean = number_facts(clean)
-    counts = facts.select("doc_id").distinct()
-    for part in (
-        ruled.groupBy("doc_id").agg(F.count_if("junk").alias("dropped")),
-        exact.groupBy("doc_id").agg(F.sum("merged").alias("exact_merges")),
-        fuzzy.groupBy("doc_id").agg(F.sum("merged").alias("fuzzy_merges")),
-        led.groupBy("doc_id", "fact_type").agg(F.max("capped").alias("capped")).where("capped > 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("fact_type", "capped"))).alias("caps")),
-        moved,
-    ):
-        if part is not None:
-            counts = counts.join(part, "doc_id", "left")
-    if moved is None:
-        counts = counts.withColumn("tightened", F.lit(0))
-    for c in ("dropped", "exact_merges", "fuzzy_merges", "tightened"):
-        counts = counts.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long"))
+        again = tight.groupBy("doc_id", "ord").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["c"]).alias("citations"), F.count_if("moved").alias("tightened"))
+        merged = keep("facts_tight", lambda: merged.drop("citations").join(again, ["doc_id", "ord"], "left"))
+    else:
+        merged = merged.withColumn("tightened", F.lit(0).cast("long"))
+    clean = number_facts(merged.drop("merged", "capped", "tightened"))
+    types = merged.groupBy("doc_id", "fact_type").agg(F.count("*").alias("left"), F.sum("merged").alias("fuzzy_merges"), F.sum("tightened").alias("tightened"), F.max("capped").alias("capped"))
+    caps = F.sort_array(F.collect_list(F.when(F.col("capped") > 0, F.struct("fact_type", "capped")))).alias("caps")
+    ends = types.groupBy("doc_id").agg(F.sum("left").alias("left"), F.sum("fuzzy_merges").alias("fuzzy_merges"), F.sum("tightened").alias("tightened"), caps)
+    counts = ruled.groupBy("doc_id").agg(F.count_if("junk").alias("dropped"), F.count_if(~F.col("junk")).alias("kept")).join(ends, "doc_id", "left")
+    # What the rules kept and neither pass left was merged.
+    counts = counts.withColumn("exact_merges", F.col("kept") - F.col("left") - F.col("fuzzy_merges")).select("doc_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("dropped", "exact_merges", "fuzzy_merges", "tightened")], "caps")
     say = lambda c, head, tail: F.when(F.col(c) > 0, F.concat(F.lit(head), F.col(c).cast("string"), F.lit(tail)))
     capped = F.flatten(F.transform(F.coalesce("caps", F.array().cast("array<struct<fact_type:string,capped:int>>")), lambda x: F.array_repeat(F.concat(F.lit("Step6: fuzzy scan capped for "), x["fact_type"], F.lit("; remaining kept as-is.")), x["capped"])))
     # The wording of warnings.
     before = F.array_compact(F.array(say("dropped", "Step6: dropped ", " header/junk facts deterministically."), say("exact_merges", "Step6: merged ", " duplicates by canonical fingerprint.")))
     after = F.array_compact(F.array(say("fuzzy_merges", "Step6: merged ", " near-duplicates by fuzzy matching."), say("tightened", "Step6: tightened ", " citation spans using exact statement matching.")))
-    return clean, counts.withColumn("warnings", F.concat(before, capped, after)).drop("caps")
+    return clean, counts.withColumn("warnings", T.join_warnings(before, capped, after)).drop("caps")

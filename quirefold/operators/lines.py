@@ -16,6 +16,13 @@ NUMBERED = (
 )
 
 
+def exploded(rows: DataFrame, array_col: str, pos: str, value: str) -> DataFrame:
+    """The other columns with each element of an array and its place. An outer explode, filtered: of a plain one Spark infers a
+    filter on the array's size and evaluates the whole expression behind the array once more for it."""
+    others = [c for c in rows.columns if c != array_col]
+    return rows.select(*others, F.posexplode_outer(array_col).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lines array<string>): stripped lines that are not blank, in order."""
     lines = F.filter(F.transform(T.split_lines(F.coalesce(F.col(text_col), F.lit(""))), T.strip), lambda x: x != "")
@@ -24,7 +31,8 @@ def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def number_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, text): lines that are not blank, numbered from 1."""
-    return text_lines(docs, id_col, text_col).select(id_col, F.posexplode("lines").alias("pos", "text")).select(id_col, (F.col("pos") + 1).cast("long").alias("line_no"), "text")
+    rows = exploded(text_lines(docs, id_col, text_col), "lines", "pos", "text")
+    return rows.select(id_col, (F.col("pos") + 1).cast("long").alias("line_no"), "text")
 
 
 def numbered_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +52,8 @@ def parse_numbered(line: Column) -> Column:
 
 def parse_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, raw, line_no, text) of all lines that are not blank; line_no is null where a line cannot be parsed."""
-    raw = docs.select(id_col, F.posexplode(T.split_lines(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "raw")).where(T.strip(F.col("raw")) != "")
+    split = docs.select(id_col, T.split_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("raws"))
+    raw = exploded(split, "raws", "pos", "raw").where(T.strip(F.col("raw")) != "")
     return raw.withColumn("p", parse_numbered(F.col("raw"))).select(id_col, "pos", "raw", F.col("p.line_no").alias("line_no"), F.col("p.text").alias("text"))
 
 
@@ -95,7 +104,7 @@ def pack_chunks(lines: DataFrame, id_col: str = "doc_id", lines_col: str = "line
         raise ValueError("chunk limits must be above 0")
     shown = F.transform(lines_col, lambda x, i: T.strip_end(F.concat((i + first_no).cast("string"), F.lit(". "), x)))
     rows = lines.select(id_col, shown.alias("shown")).withColumn("starts", chunk_starts(F.transform("shown", F.length), max_lines, max_chars))
-    parts = rows.select(id_col, "shown", F.size("shown").alias("n"), F.col("starts"), F.posexplode("starts").alias("k", "at"))
+    parts = rows.select(id_col, "shown", F.size("shown").alias("n"), "starts", F.posexplode_outer("starts").alias("k", "at")).where(F.col("k").isNotNull())
     end = F.coalesce(F.try_element_at("starts", F.col("k") + 2), F.col("n"))
     return parts.select(
         id_col,

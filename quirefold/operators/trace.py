@@ -6,7 +6,7 @@ line_start, line_end). Validators return violations, so callers may look at them
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
@@ -62,19 +62,39 @@ def unknown_chunks(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     return citations.join(chunks.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti")
 
 
-def cited_lines(citations: DataFrame, lines: DataFrame, how: str = "inner") -> DataFrame:
-    """Citations with each line they cite: (..., line_no, text). A span is exploded and hash-joined, not range-joined."""
-    numbers = F.explode(F.when(F.col("line_start") <= F.col("line_end"), F.sequence("line_start", "line_end")))
-    return citations.withColumn("line_no", numbers).join(lines, ["doc_id", "line_no"], how)
+#: Lines of a span that are exploded together.
+SPAN_BLOCK = 4096
+
+
+def line_numbers(rows: DataFrame, start: Column, end: Column) -> DataFrame:
+    """``rows`` with each ``line_no`` of their span; by blocks, so that no span becomes one large array."""
+    heads = rows.select("*", end.alias("__end"), F.explode(F.when(start <= end, F.sequence(start, end, F.lit(SPAN_BLOCK).cast("long")))).alias("__head"))
+    return heads.select(*rows.columns, F.explode(F.sequence("__head", F.least(F.col("__head") + (SPAN_BLOCK - 1), F.col("__end")))).alias("line_no"))
+
+
+def spans(rows: DataFrame, lines: DataFrame, start: Column, end: Column) -> DataFrame:
+    """``rows`` with each ``line_no`` of their span that lies between the document's first line and its last."""
+    ends = lines.groupBy("doc_id").agg(F.min("line_no").alias("__lo"), F.max("line_no").alias("__hi"))
+    known = rows.select("*", start.alias("__a"), end.alias("__b")).join(ends, "doc_id")
+    return line_numbers(known, F.greatest("__a", "__lo"), F.least("__b", "__hi")).drop("__a", "__b", "__lo", "__hi")
+
+
+def cited_lines(citations: DataFrame, lines: DataFrame) -> DataFrame:
+    """Citations with each line they cite: (..., line_no, text). A span is cut to the document, exploded and hash-joined."""
+    return spans(citations, lines, F.col("line_start"), F.col("line_end")).join(lines, ["doc_id", "line_no"])
 
 
 def missing_lines(citations: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, fact_id, ord, line_no) of cited lines that are not there."""
-    return cited_lines(citations, lines.select("doc_id", "line_no"), "left_anti").select("doc_id", "fact_id", "ord", "line_no")
+    asked = line_numbers(citations.select("doc_id", "fact_id", "ord", "line_start", "line_end"), F.col("line_start"), F.col("line_end"))
+    return asked.join(lines.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti").select("doc_id", "fact_id", "ord", "line_no")
 
 
 def audit_snippets(citations: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, fact_id, ord, snippet): ``[chunk:start-end]`` and each line as ``0001: text``."""
+    """(doc_id, fact_id, ord, snippet): ``[chunk:start-end]`` and each line as ``0001: text``.
+
+    Lines that are not there are passed over; a caller that must not miss any looks at ``missing_lines`` first.
+    """
     row = F.struct("line_no", F.format_string("%04d: %s", F.col("line_no"), F.col("text")).alias("shown"))
     got = cited_lines(citations, lines).groupBy("doc_id", "fact_id", "ord", "chunk_id", "line_start", "line_end").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     head = F.format_string("[%s:%d-%d]", F.col("chunk_id"), F.col("line_start"), F.col("line_end"))

@@ -12,6 +12,7 @@ from quirefold.operators import cleanup, extract, facts, lines, render, trace, w
 from quirefold.plans import samples as P
 from quirefold.plans import sql as S
 from quirefold.sources import files, html
+from quirefold.sources.stored import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,18 +28,6 @@ def query(sql: str | None = None):
     return add
 
 
-def fact_query(sql: str):
-    """Registers a query of ``P.facts``, and as ``whole_...`` the same of ``P.whole_facts``, without the SQL's cuts."""
-
-    def add(f):
-        whole = lambda spark, d: f(spark, d, P.whole_facts)
-        whole.__name__ = f"whole_{f.__name__}"
-        query(sql.replace(P.FACTS, P.WHOLE_FACTS).replace(" where doc_id % 7 <> 3 or fact_type <> 'red_flag'", ""))(whole)
-        return query(sql)(f)
-
-    return add
-
-
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -206,9 +195,9 @@ def clamp_citations(spark, d):
 ODD = ("  Été – “déjà” vu • l’an 7,5 ≥ 3 :", "a b c d:", "::", "•", "œuvre-clé / 50 % (max.)", "x" * 9, "A b c d 1 é", "don't — stop", "\x1c tab\tend \x1f")
 
 
-def _statements(spark, d, source=P.facts):
+def _statements(spark, d):
     odd = P.pick(ODD, F.col("doc_id"))
-    rows = source(spark, d).select("doc_id", "ord", "fact_type", "strength", "requires_human_review", "statement")
+    rows = P.facts(spark, d).select("doc_id", "ord", "fact_type", "strength", "requires_human_review", "statement")
     return rows.withColumn("statement", F.when(F.col("ord") % 5 == 2, odd).otherwise(F.col("statement")))
 
 
@@ -226,40 +215,40 @@ def _odd(s: str) -> str:
 STATEMENTS = f"{P.FACTS}, st as (select doc_id, ord, fact_type, strength, requires_human_review, case when ord % 5 = 2 then [{', '.join(map(_odd, ODD))}][(doc_id % {len(ODD)} + 1)::int] else statement end as statement from facts)"
 
 
-@fact_query(f"with {STATEMENTS} select doc_id, ord, {S.normalize('statement')} as text from st")
-def normalize_text(spark, d, source=P.facts):
-    return _statements(spark, d, source).select("doc_id", "ord", T.normalize_text(F.col("statement")).alias("text"))
+@query(f"with {STATEMENTS} select doc_id, ord, {S.normalize('statement')} as text from st")
+def normalize_text(spark, d):
+    return _statements(spark, d).select("doc_id", "ord", T.normalize_text(F.col("statement")).alias("text"))
 
 
-@fact_query(f"with {STATEMENTS} select doc_id, ord, array_to_string({S.tokens('statement')}, '|') as tokens, len({S.tokens('statement')})::bigint as n from st")
-def tokenize(spark, d, source=P.facts):
+@query(f"with {STATEMENTS} select doc_id, ord, array_to_string({S.tokens('statement')}, '|') as tokens, len({S.tokens('statement')})::bigint as n from st")
+def tokenize(spark, d):
     t = T.tokenize(F.col("statement"))
-    return _statements(spark, d, source).select("doc_id", "ord", F.array_join(t, "|").alias("tokens"), F.size(t).cast("long").alias("n"))
+    return _statements(spark, d).select("doc_id", "ord", F.array_join(t, "|").alias("tokens"), F.size(t).cast("long").alias("n"))
 
 
-@fact_query(f"with {STATEMENTS} select doc_id, ord, {S.fingerprint('statement')} as fp from st")
-def fingerprint(spark, d, source=P.facts):
-    return _statements(spark, d, source).select("doc_id", "ord", T.fingerprint(F.col("statement")).alias("fp"))
+@query(f"with {STATEMENTS} select doc_id, ord, {S.fingerprint('statement')} as fp from st")
+def fingerprint(spark, d):
+    return _statements(spark, d).select("doc_id", "ord", T.fingerprint(F.col("statement")).alias("fp"))
 
 
-@fact_query(f"with {STATEMENTS}, n as (select doc_id, ord, {S.normalize('statement')} as s from st) select doc_id, ord, {S.junk('s')} as junk from n")
-def header_junk_filter(spark, d, source=P.facts):
-    return _statements(spark, d, source).select("doc_id", "ord", T.is_header_or_junk(T.normalize_text(F.col("statement"))).alias("junk"))
+@query(f"with {STATEMENTS}, n as (select doc_id, ord, {S.normalize('statement')} as s from st) select doc_id, ord, {S.junk('s')} as junk from n")
+def header_junk_filter(spark, d):
+    return _statements(spark, d).select("doc_id", "ord", T.is_header_or_junk(T.normalize_text(F.col("statement"))).alias("junk"))
 
 
-@fact_query(f"with {STATEMENTS} select doc_id, ord, {S.fact_type('statement', 'fact_type')} as fact_type from st")
-def fact_type_rules(spark, d, source=P.facts):
-    return _statements(spark, d, source).select("doc_id", "ord", T.refine_fact_type(F.col("statement"), F.col("fact_type")).alias("fact_type"))
+@query(f"with {STATEMENTS} select doc_id, ord, {S.fact_type('statement', 'fact_type')} as fact_type from st")
+def fact_type_rules(spark, d):
+    return _statements(spark, d).select("doc_id", "ord", T.refine_fact_type(F.col("statement"), F.col("fact_type")).alias("fact_type"))
 
 
-@fact_query(f"with {STATEMENTS} select doc_id, ord, {S.strength('statement', 'strength', 'fact_type')} as strength from st")
-def strength_rules(spark, d, source=P.facts):
-    return _statements(spark, d, source).select("doc_id", "ord", T.refine_strength(F.col("statement"), F.col("strength"), F.col("fact_type")).alias("strength"))
+@query(f"with {STATEMENTS} select doc_id, ord, {S.strength('statement', 'strength', 'fact_type')} as strength from st")
+def strength_rules(spark, d):
+    return _statements(spark, d).select("doc_id", "ord", T.refine_strength(F.col("statement"), F.col("strength"), F.col("fact_type")).alias("strength"))
 
 
-@fact_query(f"with {STATEMENTS} select doc_id, ord, {S.review('strength', 'requires_human_review')} as review from st")
-def review_flag(spark, d, source=P.facts):
-    return _statements(spark, d, source).select("doc_id", "ord", T.needs_review(F.col("strength"), F.col("requires_human_review")).alias("review"))
+@query(f"with {STATEMENTS} select doc_id, ord, {S.review('strength', 'requires_human_review')} as review from st")
+def review_flag(spark, d):
+    return _statements(spark, d).select("doc_id", "ord", T.needs_review(F.col("strength"), F.col("requires_human_review")).alias("review"))
 
 
 ALIASES = [(i, x) for i, x in enumerate((*T.TYPE_ALIASES, " Warning ", "FOLLOWUP", "population", "odd", ""), 1)]
@@ -282,39 +271,39 @@ def condition_parse(spark, d):
 # Merging.
 
 
-def _ruled(spark, d, source=P.facts):
-    return facts.normalize_facts(source(spark, d)).where("not junk").drop("junk")
+def _ruled(spark, d):
+    return facts.normalize_facts(P.facts(spark, d)).where("not junk").drop("junk")
 
 
-@fact_query(f"""with {P.RULED} select doc_id, fact_type, arg_min(fact_id, (-length(statement), fact_id)) as fact_id, arg_min(statement, (-length(statement), fact_id)) as statement,
+@query(f"""with {P.RULED} select doc_id, fact_type, arg_min(fact_id, (-length(statement), fact_id)) as fact_id, arg_min(statement, (-length(statement), fact_id)) as statement,
   case when count(*) = 1 then any_value(strength) else {S.listed(T.STRENGTHS)}[max(list_position({S.listed(T.STRENGTHS)}, strength))] end as strength, bool_or(requires_human_review) as requires_human_review, count(*) - 1 as merged
 from ruled group by doc_id, fact_type, fp""")
-def exact_dedup(spark, d, source=P.facts):
-    return facts.merge_exact(_ruled(spark, d, source)).select("doc_id", "fact_type", "fact_id", "statement", "strength", "requires_human_review", "merged")
+def exact_dedup(spark, d):
+    return facts.merge_exact(_ruled(spark, d)).select("doc_id", "fact_type", "fact_id", "statement", "strength", "requires_human_review", "merged")
 
 
-@fact_query("with " + P.RULED + " select doc_id, arg_min(fact_id, (-length(statement), fact_id)) as fact_id, " + ", ".join(f"coalesce(arg_min_null({c}, (-length(statement), fact_id)), arg_min({c}, ord) filter (where {c} is not null)) as {c}" for c in ("subject", "condition", "action", "notes")) + " from ruled group by doc_id, fact_type, fp")
-def optional_fill(spark, d, source=P.facts):
-    return facts.merge_exact(_ruled(spark, d, source)).select("doc_id", "fact_id", "subject", "condition", "action", "notes")
+@query("with " + P.RULED + " select doc_id, arg_min(fact_id, (-length(statement), fact_id)) as fact_id, " + ", ".join(f"coalesce(arg_min_null({c}, (-length(statement), fact_id)), arg_min({c}, ord) filter (where {c} is not null)) as {c}" for c in ("subject", "condition", "action", "notes")) + " from ruled group by doc_id, fact_type, fp")
+def optional_fill(spark, d):
+    return facts.merge_exact(_ruled(spark, d)).select("doc_id", "fact_id", "subject", "condition", "action", "notes")
 
 
-@fact_query(f"""with {P.RULED}, g as (select doc_id, fact_type, fp, arg_min(fact_id, (-length(statement), fact_id)) as fact_id, count(*) as n from ruled group by 1, 2, 3),
+@query(f"""with {P.RULED}, g as (select doc_id, fact_type, fp, arg_min(fact_id, (-length(statement), fact_id)) as fact_id, count(*) as n from ruled group by 1, 2, 3),
 c as (select r.doc_id, r.fact_type, r.fp, r.ord, generate_subscripts(r.citations, 1) as nth, unnest(r.citations) as c from ruled r),
 s as (select g.doc_id, g.fact_id, c.c.line_start as line_start, c.c.line_end as line_end, arg_min(c.c.quote, (ord, nth)) filter (where c.c.quote is not null) as quote from g join c using (doc_id, fact_type, fp) where g.n > 1 group by 1, 2, 3, 4
   union all select g.doc_id, g.fact_id, c.c.line_start, c.c.line_end, c.c.quote from g join c using (doc_id, fact_type, fp) where g.n = 1)
 select doc_id, fact_id, 'c0001' as chunk_id, line_start, line_end, quote from s""")
-def merged_citations(spark, d, source=P.facts):
-    return facts.merge_exact(_ruled(spark, d, source)).select("doc_id", "fact_id", F.inline("citations"))
+def merged_citations(spark, d):
+    return facts.merge_exact(_ruled(spark, d)).select("doc_id", "fact_id", F.inline("citations"))
 
 
-@fact_query(f"with {P.RULED}, m as (select doc_id, fact_type, min(ord) as ord, arg_min(statement, (-length(statement), fact_id)) as statement from ruled group by doc_id, fact_type, fp) select x.doc_id, x.fact_type, x.ord as a, y.ord as b from m x join m y on x.doc_id = y.doc_id and x.fact_type = y.fact_type and x.ord < y.ord and least(length(x.statement), length(y.statement)) * (2 - 0.94::double) >= greatest(length(x.statement), length(y.statement)) * 0.94::double")
-def fuzzy_pairs_pruned(spark, d, source=P.facts):
-    return facts.fuzzy_pairs(facts.merge_exact(_ruled(spark, d, source)))
+@query(f"with {P.RULED}, m as (select doc_id, fact_type, min(ord) as ord, arg_min(statement, (-length(statement), fact_id)) as statement from ruled group by doc_id, fact_type, fp) select x.doc_id, x.fact_type, x.ord as a, y.ord as b from m x join m y on x.doc_id = y.doc_id and x.fact_type = y.fact_type and x.ord < y.ord and least(length(x.statement), length(y.statement)) * (2 - 0.94::double) >= greatest(length(x.statement), length(y.statement)) * 0.94::double")
+def fuzzy_pairs_pruned(spark, d):
+    return facts.fuzzy_pairs(facts.merge_exact(_ruled(spark, d)))
 
 
 @query()
 def fuzzy_clusters(spark, d):
-    return facts.fuzzy_leaders(facts.merge_exact(_ruled(spark, d, P.whole_facts)))
+    return facts.fuzzy_leaders(facts.merge_exact(_ruled(spark, d)))
 
 
 def _cited_facts(spark, d):
@@ -336,21 +325,21 @@ def tighten_citations(spark, d):
     return facts.tighten_citations(_cited_facts(spark, d), P.lines(spark, d)).select("doc_id", "ord", "line_start", "line_end", "moved")
 
 
-@fact_query(f"with {P.RULED} select doc_id, ord, printf('f%04d', row_number() over (partition by doc_id order by fact_type, lower(statement), fact_id)) as fact_id from ruled")
-def reid_facts(spark, d, source=P.facts):
-    return facts.number_facts(_ruled(spark, d, source)).select("doc_id", "ord", "fact_id")
+@query(f"with {P.RULED} select doc_id, ord, printf('f%04d', row_number() over (partition by doc_id order by fact_type, lower(statement), fact_id)) as fact_id from ruled")
+def reid_facts(spark, d):
+    return facts.number_facts(_ruled(spark, d)).select("doc_id", "ord", "fact_id")
 
 
 @query()
 def clean_fact_counts(spark, d):
-    return facts.canonical_facts(P.whole_facts(spark, d), P.lines(spark, d))[1]
+    return facts.canonical_facts(P.facts(spark, d), P.lines(spark, d), keep=lambda name, make: store(make(), name))[1]
 
 
 # Workflows.
 
 _IN = {"population": "fact_type = 'population'", "excluded": "fact_type in ('exclusion', 'contraindication')", "red_flag": "fact_type = 'red_flag'", "review": "requires_human_review"}
 BUCKETS = f"""{P.RULED},
-small as (select * from ruled where doc_id % 7 <> 3 or fact_type <> 'red_flag'),
+small as (select * from ruled),
 k as (select doc_id, count(*) as n_all, {", ".join(f"count(*) filter (where {c}) as n_{b}" for b, c in _IN.items())} from small group by 1),
 u as (select doc_id, fact_type, fact_id, requires_human_review, generate_subscripts(citations, 1) as nth, unnest(citations) as c from small),
 b as ({" union all ".join(f"select doc_id, '{b}' as bucket, c.line_start as ls, c.line_end as le, arg_min_null(c.quote, (fact_id, nth)) as quote from u where {c} group by 1, 2, 3, 4" for b, c in {**_IN, "all": "true"}.items())}),
@@ -358,11 +347,6 @@ r as (select b.* from b join k on k.doc_id = b.doc_id where bucket = case when n
 p as (select doc_id, bucket, ls, le, quote, row_number() over (partition by doc_id order by ls, le) as place from r)"""
 
 
-def _bucket_facts(spark, d, source=P.facts):
-    rows = _ruled(spark, d, source)
-    return rows if source is P.whole_facts else rows.where("doc_id % 7 <> 3 or fact_type <> 'red_flag'")
-
-
 _NODES = " union all ".join(
     [f"select doc_id, '{i}' as node_id, 'decision' as node_type, '{c}' as condition, '{t}' as true_next, '{f}' as false_next, null as text, null::boolean as review from k" for i, c, t, f, _ in workflow.DECISIONS]
     + [f"select doc_id, '{i}', 'action', null, null, null, {S.q(a)}, true from k" for i, a, _ in workflow.ACTIONS]
@@ -370,34 +354,34 @@ _NODES = " union all ".join(
 )
 
 
-@fact_query(f"with {BUCKETS} {_NODES}")
-def workflow_nodes(spark, d, source=P.facts):
-    n = workflow.workflow_nodes(_bucket_facts(spark, d, source))
+@query(f"with {BUCKETS} {_NODES}")
+def workflow_nodes(spark, d):
+    n = workflow.workflow_nodes(_ruled(spark, d))
     return n.select("doc_id", "node_id", "node_type", "condition", "true_next", "false_next", F.coalesce("action", "label").alias("text"), F.col("requires_human_review").alias("review"))
 
 
-@fact_query(
+@query(
     f"with {BUCKETS} "
     + " union all ".join(f"select doc_id, '{i}' as node_id, 'c0001' as chunk_id, ls as line_start, le as line_end, quote from b where bucket = '{b}'" for i, *_, b in (*workflow.DECISIONS, workflow.ACTIONS[0]))
     + " union all select doc_id, 'a0002', 'c0001', ls, le, quote from p where place <= 8"
 )
-def workflow_citations(spark, d, source=P.facts):
-    return workflow.workflow_nodes(_bucket_facts(spark, d, source)).select("doc_id", "node_id", F.inline("citations"))
+def workflow_citations(spark, d):
+    return workflow.workflow_nodes(_ruled(spark, d)).select("doc_id", "node_id", F.inline("citations"))
 
 
-@fact_query(f"with {BUCKETS}, n as ({_NODES}) select doc_id, node_id as src, true_next as dst, true as branch from n where node_type = 'decision' union all select doc_id, node_id, false_next, false from n where node_type = 'decision'")
-def workflow_edges(spark, d, source=P.facts):
-    return workflow.workflow_edges(workflow.workflow_nodes(_bucket_facts(spark, d, source)))
+@query(f"with {BUCKETS}, n as ({_NODES}) select doc_id, node_id as src, true_next as dst, true as branch from n where node_type = 'decision' union all select doc_id, node_id, false_next, false from n where node_type = 'decision'")
+def workflow_edges(spark, d):
+    return workflow.workflow_edges(workflow.workflow_nodes(_ruled(spark, d)))
 
 
-@fact_query(f"with {BUCKETS}, c as (select doc_id, count(*) as n from p group by 1) select k.doc_id, n_all as num_facts, n_population as num_population_facts, n_excluded as num_excl_contra_facts, n_red_flag as num_red_flag_facts, n_review as num_review_facts, coalesce(n, 0)::bigint as review_citations_available, least(coalesce(n, 0), 8)::bigint as review_citations_emitted from k left join c on c.doc_id = k.doc_id")
-def workflow_meta(spark, d, source=P.facts):
-    return workflow.workflow_meta(_bucket_facts(spark, d, source))
+@query(f"with {BUCKETS}, c as (select doc_id, count(*) as n from p group by 1) select k.doc_id, n_all as num_facts, n_population as num_population_facts, n_excluded as num_excl_contra_facts, n_red_flag as num_red_flag_facts, n_review as num_review_facts, coalesce(n, 0)::bigint as review_citations_available, least(coalesce(n, 0), 8)::bigint as review_citations_emitted from k left join c on c.doc_id = k.doc_id")
+def workflow_meta(spark, d):
+    return workflow.workflow_meta(_ruled(spark, d))
 
 
-@fact_query(f"with {BUCKETS} select doc_id, 'doc' || doc_id || '__v1' as workflow_id, 'd0001' as start_node_id, array_to_string(list_filter([{', '.join(f'case when n_{b} = 0 then {S.q(t)} end' for b, t in workflow.ABSENT)}], lambda x: x is not null), '|') as warnings from k")
-def workflow_warnings(spark, d, source=P.facts):
-    return workflow.workflow_headers(_bucket_facts(spark, d, source)).select("doc_id", "workflow_id", "start_node_id", F.array_join("warnings", "|").alias("warnings"))
+@query(f"with {BUCKETS} select doc_id, 'doc' || doc_id || '__v1' as workflow_id, 'd0001' as start_node_id, array_to_string(list_filter([{', '.join(f'case when n_{b} = 0 then {S.q(t)} end' for b, t in workflow.ABSENT)}], lambda x: x is not null), '|') as warnings from k")
+def workflow_warnings(spark, d):
+    return workflow.workflow_headers(_ruled(spark, d)).select("doc_id", "workflow_id", "start_node_id", F.array_join("warnings", "|").alias("warnings"))
 
 
 GRAPHS = [
@@ -468,30 +452,30 @@ def workflow_shapes(spark, d):
     return workflow.shape_violations(nodes, values(spark, SHAPE_INPUTS, "doc_id int, input_id string, name string, type string"))
 
 
-@fact_query(f"with {BUCKETS}, n as ({_NODES}), e as (select doc_id, node_id, true as branch, true_next as next_id from n where node_type = 'decision' union all select doc_id, node_id, false, false_next from n where node_type = 'decision') select e.doc_id, e.node_id, branch, next_id, n.node_type as next_type, case when n.node_type = 'decision' then 'Continue to next step.' else n.text end as says from e join n on n.doc_id = e.doc_id and n.node_id = e.next_id")
-def next_steps(spark, d, source=P.facts):
-    return workflow.next_steps(workflow.workflow_nodes(_bucket_facts(spark, d, source)))
+@query(f"with {BUCKETS}, n as ({_NODES}), e as (select doc_id, node_id, true as branch, true_next as next_id from n where node_type = 'decision' union all select doc_id, node_id, false, false_next from n where node_type = 'decision') select e.doc_id, e.node_id, branch, next_id, n.node_type as next_type, case when n.node_type = 'decision' then 'Continue to next step.' else n.text end as says from e join n on n.doc_id = e.doc_id and n.node_id = e.next_id")
+def next_steps(spark, d):
+    return workflow.next_steps(workflow.workflow_nodes(_ruled(spark, d)))
 
 
-@fact_query(f"with {BUCKETS} select doc_id, unnest(['d0001', 'd0002', 'd0003']) as node_id, unnest(['in001', 'in002', 'in003']) as input_id, unnest(['Eligibility', 'Exclusions / Contraindications', 'Red Flags / Escalation']) as title, true as expected from k")
-def gate_titles(spark, d, source=P.facts):
-    rows = _bucket_facts(spark, d, source)
+@query(f"with {BUCKETS} select doc_id, unnest(['d0001', 'd0002', 'd0003']) as node_id, unnest(['in001', 'in002', 'in003']) as input_id, unnest(['Eligibility', 'Exclusions / Contraindications', 'Red Flags / Escalation']) as title, true as expected from k")
+def gate_titles(spark, d):
+    rows = _ruled(spark, d)
     return workflow.conditions(workflow.workflow_nodes(rows), workflow.workflow_inputs(rows)).select("doc_id", "node_id", "input_id", T.gate_title(F.col("name"), F.lit(1)).alias("title"), "expected")
 
 
-def _reports(spark, d, source=P.whole_facts):
-    rows = _bucket_facts(spark, d, source)
-    return workflow.workflow_headers(rows), workflow.workflow_inputs(rows), workflow.workflow_nodes(rows), P.lines(spark, d)
+def _reports(spark, d):
+    rows = store(_ruled(spark, d), "ruled")
+    return workflow.workflow_headers(rows), workflow.workflow_inputs(rows), store(workflow.workflow_nodes(rows), "nodes"), P.lines(spark, d)
 
 
 @query()
 def audit_markdown(spark, d):
-    return render.audit_markdown(*_reports(spark, d, P.whole_facts))
+    return render.audit_markdown(*_reports(spark, d))
 
 
 @query()
 def reading_markdown(spark, d):
-    return render.reading_markdown(*_reports(spark, d, P.whole_facts))
+    return render.reading_markdown(*_reports(spark, d))
 
 
 # Sources and cleanup.
@@ -546,18 +530,12 @@ def clean_lines(spark, d):
     return cleanup.clean_lines(_blocks(spark, d))
 
 
-@query(f"""with recursive {S.LINES}, w as (select doc_id, line_no, text, string_split(text, ' ') as a from lines where line_no <= 3),
+@query(f"""with recursive {S.LINES}, w as (select doc_id, line_no, text, string_split(text, ' ') as a from lines),
 r as (select doc_id, line_no, a, 1 as i, a[1] as cur, 1 as part from w where length(text) > 40
   union all select doc_id, line_no, a, i + 1, case when cur = '' then a[i + 1] when length(cur) + 1 + length(a[i + 1]) <= 40 then cur || ' ' || a[i + 1] else a[i + 1] end, part + case when cur = '' or length(cur) + 1 + length(a[i + 1]) <= 40 then 0 else 1 end from r where i < len(a))
 select doc_id, line_no, (part - 1)::int as part, arg_max(cur, i) as line from r group by doc_id, line_no, part having arg_max(cur, i) <> ''
 union all select doc_id, line_no, 0, text from w where length(text) <= 40""")
 def hard_wrap(spark, d):
-    return P.lines(spark, d).where("line_no <= 3").select("doc_id", "line_no", F.posexplode(cleanup.hard_wrap(F.col("text"), 40)).alias("part", "line"))
-
-
-@query()
-def whole_hard_wrap(spark, d):
-    """Every line; ``hard_wrap`` takes each document's first three, as its SQL does."""
     return P.lines(spark, d).select("doc_id", "line_no", F.posexplode(cleanup.hard_wrap(F.col("text"), 40)).alias("part", "line"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import text as T
 from quirefold.operators import lines as L
 from quirefold.plans import sql as S
+from quirefold.sources import files
 
 CUES = (
     "Do not combine both drugs together",
@@ -30,7 +31,7 @@ CUES = (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return files.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,22 +47,11 @@ def pick(values, n):
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fact for every line: type, strength and cue by its numbers, every fourth with the line's beginning."""
-    n = F.col("line_no")
-    cue = pick(CUES, F.col("doc_id") * 7 + n)
-    return _facts(lines(spark, sf_dir), n, F.when(n % 4 == 0, F.concat(cue, F.lit(" "), F.left("text", F.lit(24)))).otherwise(cue))
-
-
-def whole_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two facts for every line: its cue with the whole line, and the bare cue."""
-    n = F.col("line_no")
-    cue = pick(CUES, F.col("doc_id") * 7 + n)
-    rows = lines(spark, sf_dir).withColumn("bare", F.explode(F.array(F.lit(0), F.lit(1))))
-    return _facts(rows, n * 2 - 1 + F.col("bare"), F.when(F.col("bare") == 0, F.concat(cue, F.lit(" "), "text")).otherwise(cue))
-
-
-def _facts(rows: DataFrame, ord_, statement) -> DataFrame:
-    d, n = F.col("doc_id"), F.col("line_no")
+    """Two facts for every line, type and strength by its numbers: its cue with the whole line, and the bare cue."""
+    n, d = F.col("line_no"), F.col("doc_id")
+    rows = lines(spark, sf_dir).withColumn("bare", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("cue", pick(CUES, d * 7 + n))
+    ord_ = n * 2 - 1 + F.col("bare")
+    statement = F.when(F.col("bare") == 0, F.concat("cue", F.lit(" "), "text")).otherwise(F.col("cue"))
     some = lambda k, r, head: F.when(n % k == r, F.concat(F.lit(head), n.cast("string")))
     cite = F.struct(F.lit("c0001").alias("chunk_id"), F.greatest(n - 1, F.lit(1)).alias("line_start"), (n + 1).alias("line_end"), F.when(n % 2 == 1, F.lit("q")).alias("quote"))
     return rows.select(
@@ -75,18 +65,13 @@ def _facts(rows: DataFrame, ord_, statement) -> DataFrame:
 FACTS = f"""{S.LINES},
 cued as (select *, {S.listed(CUES)}[((doc_id * 7 + line_no) % {len(CUES)} + 1)::int] as cue from lines),
 facts as (
-  select doc_id, line_no::int as ord, printf('f%04d', line_no) as fact_id, {S.listed(T.FACT_TYPES)}[((doc_id + line_no) % {len(T.FACT_TYPES)} + 1)::int] as fact_type,
-    case when line_no % 4 = 0 then cue || ' ' || left(text, 24) else cue end as statement, {S.listed(T.STRENGTHS)}[((doc_id + line_no * 2) % {len(T.STRENGTHS)} + 1)::int] as strength,
+  select doc_id, (line_no * 2 - 1 + bare)::int as ord, printf('f%04d', line_no * 2 - 1 + bare) as fact_id, {S.listed(T.FACT_TYPES)}[((doc_id + line_no) % {len(T.FACT_TYPES)} + 1)::int] as fact_type,
+    case when bare = 0 then cue || ' ' || text else cue end as statement, {S.listed(T.STRENGTHS)}[((doc_id + line_no * 2) % {len(T.STRENGTHS)} + 1)::int] as strength,
     line_no % 3 = 0 as requires_human_review, case when line_no % 4 = 1 then 's' || line_no end as subject, case when line_no % 5 = 1 then 'c' || line_no end as condition,
     case when line_no % 3 = 2 then 'a' || line_no end as action, case when line_no % 2 = 0 then 'n' || line_no end as notes, null::varchar as raw,
     [{{'chunk_id': 'c0001', 'line_start': greatest(line_no - 1, 1), 'line_end': line_no + 1, 'quote': case when line_no % 2 = 1 then 'q' end}},
      {{'chunk_id': 'c0001', 'line_start': 1, 'line_end': 2, 'quote': case when line_no % 7 = 3 then 'r' || line_no end}}] as citations
-  from cued)"""
-WHOLE_FACTS = (
-    FACTS.replace("line_no::int as ord, printf('f%04d', line_no)", "(line_no * 2 - 1 + bare)::int as ord, printf('f%04d', line_no * 2 - 1 + bare)")
-    .replace("case when line_no % 4 = 0 then cue || ' ' || left(text, 24) else cue end", "case when bare = 0 then cue || ' ' || text else cue end")
-    .replace("from cued)", "from cued cross join (values (0), (1)) b(bare))")
-)
+  from cued cross join (values (0), (1)) b(bare))"""
 RULED = f"""{FACTS},
 n1 as (select * replace ({S.normalize('statement')} as statement) from facts),
 n2 as (select * replace ({S.fact_type('statement', 'fact_type')} as fact_type) from n1 where not {S.junk('statement')}),

@@ -27,8 +27,7 @@ def normalize(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    t = sub(sub(f"lower({x})", T.DASH, " "), T.NO_TOKEN, " ")
-    return f"list_filter(string_split({strip(squeeze(t))}, ' '), lambda x: x <> '')"
+    return f"list_filter(string_split_regex(lower({x}), {q(T.NO_TOKEN)}), lambda x: x <> '')"
 
 
 def items(values) -> str:

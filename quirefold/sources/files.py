@@ -16,6 +16,15 @@ LINES = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("tex
 CHUNKS = T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("line_start", T.LongType()), T.StructField("line_end", T.LongType()), T.StructField("text", T.StringType())])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table of fewer input splits than there are cores, dealt out to all of them by key; a larger one as it is.
+
+    So small tables use the whole machine, and what is grouped by the key later needs no further shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -45,46 +45,47 @@ def test_chunks(spark):
         lines.pack_chunks(spark.createDataFrame([(1, ["a"])], "doc_id int, lines array<string>"), max_lines=0)
 
 
-def merge(ls):
-    import re
-
-    out, buf = [], None
-    for x in ls:
-        if buf is None:
-            buf = x
-        elif re.match(r"^(-|\*|•|\d+\.)\s+", x) or re.search(r"[.;:!?]$", buf) or not x[:1].islower():
-            out.append(buf)
-            buf = x
-        else:
-            buf = f"{buf} {x}".strip()
-    return out + ([buf] if buf is not None else [])
-
-
-def unbreak(ls):
-    out, i = [], 0
-    while i < len(ls):
-        if ls[i].endswith("-") and i + 1 < len(ls) and ls[i + 1][:1].islower():
-            out.append(ls[i][:-1] + ls[i + 1])
-            i += 2
-        else:
-            out.append(ls[i])
-            i += 1
-    return out
-
-
-def test_line_cleanup_against_loops(spark):
+#: Lines, the same with word breaks joined, and with paragraphs joined.
+CLEANUPS = [
+    (["recom-", "mendation"], ["recommendation"], ["recom- mendation"]),
+    (["recom-", "Mendation"], ["recom-", "Mendation"], ["recom-", "Mendation"]),
+    (["a-", "b-", "c-", "d"], ["ab-", "cd"], ["a- b- c- d"]),
+    (["x-", "y-", "z"], ["xy-", "z"], ["x- y- z"]),
+    (["last-"], ["last-"], ["last-"]),
+    (["n-", "é fin"], ["né fin"], ["n- é fin"]),
+    (["alpha", "beta"], ["alpha", "beta"], ["alpha beta"]),
+    (["alpha.", "beta"], ["alpha.", "beta"], ["alpha.", "beta"]),
+    (["alpha", "- beta"], ["alpha", "- beta"], ["alpha", "- beta"]),
+    (["- item", "goes on"], ["- item", "goes on"], ["- item goes on"]),
+    (["End:", "then"], ["End:", "then"], ["End:", "then"]),
+    (["one", "2. two", "three", "Four", "five"], ["one", "2. two", "three", "Four", "five"], ["one", "2. two three", "Four five"]),
+]
+
+
+def _lists(out, n):
+    got = {}
+    for r in out.orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.line)
+    return [got[i] for i in range(n)]
+
+
+def test_line_cleanup_cases(spark):
+    df = spark.createDataFrame([(d, i, x) for d, (ls, _, _) in enumerate(CLEANUPS) for i, x in enumerate(ls)], "doc_id int, pos int, line string")
+    assert _lists(cleanup.dehyphenate(df), len(CLEANUPS)) == [j for _, j, _ in CLEANUPS]
+    assert _lists(cleanup.merge_soft_wraps(df), len(CLEANUPS)) == [p for _, _, p in CLEANUPS]
+
+
+def test_line_cleanup_properties(spark):
     rng = random.Random(2)
     docs = [[rng.choice(["alpha", "beta-", "Gamma-", "delta.", "- item", "2. two", "x-", "é fin", "End:"]) for _ in range(rng.randint(1, 12))] for _ in range(120)]
     df = spark.createDataFrame([(d, i, x) for d, ls in enumerate(docs) for i, x in enumerate(ls)], "doc_id int, pos int, line string")
-
-    def lists(out):
-        got = {}
-        for r in out.orderBy("doc_id", "pos").collect():
-            got.setdefault(r.doc_id, []).append(r.line)
-        return [got[i] for i in range(len(docs))]
-
-    assert lists(cleanup.dehyphenate(df)) == [unbreak(d) for d in docs]
-    assert lists(cleanup.merge_soft_wraps(df)) == [merge(d) for d in docs]
+    for before, joined, merged in zip(docs, _lists(cleanup.dehyphenate(df), len(docs)), _lists(cleanup.merge_soft_wraps(df), len(docs))):
+        # Nothing but a dash goes where lines are joined, and nothing but a line end becomes a space.
+        assert "".join(joined).replace("-", "") == "".join(before).replace("-", "")
+        assert " ".join(merged) == " ".join(before)
+        # A paragraph starts where its line may not go on: after a stop, at a bullet, or without lower case.
+        starts = [x for x, b in zip(before[1:], before) if b[-1] in ".:" or x[:2] in ("- ", "2.") or not x[0].islower()]
+        assert len(merged) == len(starts) + 1
 
 
 def test_boilerplate_and_wrap(spark):

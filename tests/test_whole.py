@@ -24,7 +24,7 @@ def table(spark, path, texts):
 
 def test_every_line_is_wrapped(spark, tmp_path):
     d = table(spark, tmp_path, ["\n".join(f"line {i} of this text goes on and on until it has to be wrapped somewhere" + " x" * i for i in range(1, 9)), "a\nb\nc\nd " + "e" * 50 + " f"])
-    got = {(r.doc_id, r.line_no, r.part): r.line for r in catalog.QUERIES["whole_hard_wrap"](spark, d).collect()}
+    got = {(r.doc_id, r.line_no, r.part): r.line for r in catalog.QUERIES["hard_wrap"](spark, d).collect()}
     want = {(r.doc_id, r.line_no, k): x for r in P.lines(spark, d).collect() for k, x in enumerate(wrapped(r.text))}
     assert got == want and max(n for _, n, _ in got) == 8
 
