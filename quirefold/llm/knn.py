@@ -4,7 +4,8 @@ Vectors are dealt to the cell of their nearest pivot. Each cell's summary (rows,
 to the pivot) bounds every inner product with a query q: for o in the cell of pivot p at distance d,
 ``q.p - |q| d <= q.o <= q.p + |q| d``. The lower bounds give each query a score its k-th answer must reach; a query goes
 only to cells whose upper bound reaches it, and each cell is solved locally. Large cells are cut into salted chunks and
-large query sets into blocks, so a task holds a bounded number of rows however common one vector is.
+the queries of a cell into blocks, so a task holds a bounded number of rows however common one vector is; a cell's rows are copied to
+the blocks that need the cell, and to no others.
 
 Defined results: vectors that are null, hold a null or non-finite component, or one whose scaled floor is no 64-bit integer
 take no part, nor do rows with a null id. Vectors of unequal length are padded with zeros. Rows that share the query's id
@@ -100,21 +101,35 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
 
     dealt = store(base.mapInArrow(deal, "cell int, dist double, norm double, id long, v array<long>"), "knn-cells")
     stats = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.max("norm").alias("norm"))
-    near = dealt.select("cell", "dist").withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("dist"))).where(F.col("r") <= k + 1)
-    nearest = near.groupBy("cell").agg(F.sort_array(F.collect_list("dist")).alias("nearest"))  # k + 1 values each
+    # Of each id its nearest row, and of these the k + 1 nearest: whatever the query's id, k rows of others stay.
+    near = dealt.groupBy("cell", "id").agg(F.min("dist").alias("dist")).withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("dist", "id"))).where(F.col("r") <= k + 1)
+    nearest = near.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("dist", "id"))).alias("nearest"))  # k + 1 values each
     summary = sorted(stats.join(nearest, "cell").collect(), key=lambda r: r["cell"])  # one row a pivot
     cells = np.array([r["cell"] for r in summary])
     radius = np.array([r["radius"] for r in summary])
     norm = np.array([r["norm"] for r in summary])
-    close = np.full((len(cells), k + 1), np.inf)
+    close, close_id = np.full((len(cells), k + 1), np.inf), np.zeros((len(cells), k + 1), np.int64)
     for i, r in enumerate(summary):
-        close[i, : len(r["nearest"])] = r["nearest"]
+        for j, x in enumerate(r["nearest"]):
+            close[i, j], close_id[i, j] = x["dist"], x["id"]
     n_chunks = {r["cell"]: -(-r["n"] // chunk_rows) for r in summary}
-    asked = integer_vectors(queries, id_col, vec_col, scale).groupBy("id").agg(F.max("v").alias("v"))
-    n_queries = asked.count()
-    if not n_queries:
+
+    def home(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                near = _distances(_matrix(part.column(1)), pivot).argmin(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near.astype(np.int32))], ["id", "v", "home"])
+
+    # Queries of one cell need much the same cells, so they share blocks.
+    asked = store(integer_vectors(queries, id_col, vec_col, scale).groupBy("id").agg(F.max("v").alias("v")).mapInArrow(home, "id long, v array<long>, home int"), "knn-asked")
+    homes = {r["home"]: -(-r["count"] // block_queries) for r in asked.groupBy("home").count().collect()}  # one row a pivot
+    if not homes:
         return empty
-    n_blocks = -(-n_queries // block_queries)
+    n_blocks, first_block = np.ones(n_pivots, np.int64), np.zeros(n_pivots, np.int64)
+    for c, m in homes.items():
+        n_blocks[c] = m
+    first_block[1:] = np.cumsum(n_blocks)[:-1]
 
     def route(batches):
         """One row for each cell chunk and query block, with the queries that need it packed together."""
@@ -125,16 +140,17 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
                 dot = products(q, pivot).astype(np.float64)
                 length = np.sqrt((q.astype(np.float64) ** 2).sum(1))[:, None]
                 slack = 1e-6 * (1 + np.abs(dot).max() + length * radius.max(initial=0))  # for the rounding of distances
-                low = (dot[:, cells, None] - length[:, :, None] * close[None]).reshape(len(q), -1)
-                low[~np.isfinite(low)] = -np.inf
-                # One of the k + 1 best may be the query itself.
-                floor = -np.partition(-low, k, axis=1)[:, k] if low.shape[1] > k else np.full(len(q), -np.inf)
+                low = dot[:, cells, None] - length[:, :, None] * close[None]
+                low[~np.isfinite(close)[None].repeat(len(q), 0) | (close_id[None] == ids[:, None, None])] = -np.inf  # rows of the query's id are no answers
+                low = low.reshape(len(q), -1)
+                floor = -np.partition(-low, k - 1, axis=1)[:, k - 1] if low.shape[1] >= k else np.full(len(q), -np.inf)
                 known = np.where(ids[:, None] == pivot_ids[None], -np.inf, dot)
                 if known.shape[1] >= k:
                     floor = np.maximum(floor, -np.partition(-known, k - 1, axis=1)[:, k - 1])
                 floor = floor[:, None] - slack
                 high = np.minimum(dot[:, cells] + length * radius[None], length * norm[None]) + slack
-                block = ids % n_blocks
+                at_home = part.column(2).to_numpy()
+                block = first_block[at_home] + ids % n_blocks[at_home]
                 for j, cell in enumerate(cells.tolist()):
                     for blk in np.unique(block).tolist():
                         need = np.flatnonzero((high[:, j] >= floor[:, 0]) & (block == blk))
@@ -145,9 +161,12 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
                                 ["cell", "chunk", "block", "dims", "ids", "vectors", "floors"],
                             )
 
-    routed = asked.mapInArrow(route, "cell int, chunk int, block int, dims int, ids binary, vectors binary, floors binary")
+    # Stored, as it says which cells meet which blocks, and only these are copied: (cell, block) pairs, a few bytes each.
+    routed = store(asked.mapInArrow(route, "cell int, chunk int, block int, dims int, ids binary, vectors binary, floors binary"), "knn-routed")
+    needs = routed.groupBy("cell").agg(F.sort_array(F.collect_set("block")).alias("blocks"))  # one row a pivot
     parts = F.create_map(*[x for c, m in n_chunks.items() for x in (F.lit(c), F.lit(m))])
-    chunks = dealt.select("cell", F.pmod(F.xxhash64("id", "v"), parts[F.col("cell")]).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "id", "v")
+    chunk = F.pmod(F.xxhash64("id", "v", "salt"), parts[F.col("cell")]).cast("int").alias("chunk")
+    chunks = dealt.withColumn("salt", F.monotonically_increasing_id()).join(needs, "cell").select("cell", chunk, F.explode("blocks").alias("block"), "id", "v")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64)] * 3

@@ -36,6 +36,26 @@ def test_knn_with_ties_repeats_and_odd_vectors(spark):
     assert knn.top_k(empty, empty, 10).count() == knn.top_k(df, empty, 10).count() == 0
 
 
+def brute_top(rows, k):
+    """The k best of each query (ids divisible by 100) among rows of other ids, by plain comparison."""
+    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    return {qid: [(r, i, -s) for r, (s, i) in enumerate(sorted(((-dot(q, v), i) for i, v in good if i != qid))[:k], 1)] for qid, q in sorted(good) if qid % 100 == 0}
+
+
+@pytest.mark.parametrize("others", [20, 4, 200])
+def test_knn_with_many_rows_of_the_querys_own_id(spark, others):
+    rng = random.Random(others)
+    # The repeated id's rows are the nearest to every pivot, and pivots themselves.
+    rows = [(20_500, [1.0, 0.0])] * 30 + [(i, [rng.choice([0.5, 0.25]), rng.choice([0.0, 0.5])]) for i in range(1, others + 1)] + [(700, [0.5, 0.5])] * 15
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for limits in ({}, {"chunk_rows": 7, "block_queries": 1, "pivots": (3, 5)}):
+        got = {}
+        for r in knn.top_k(df, df.where("vec_id % 100 = 0"), 10, **limits).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert {q: sorted(v) for q, v in got.items()} == brute_top(rows, 10)
+
+
 def test_language_of_held_out_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     train, held = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
