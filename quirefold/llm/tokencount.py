@@ -4,12 +4,16 @@ The distinct pre-tokens of a batch lie in one flat numpy array of symbols with a
 pre-token finds its lowest-ranked adjacent pair and applies it at all its places at once; pre-tokens without a mergeable
 pair are counted and leave the array. No merge makes a pair of lower rank than itself, so this equals one merge at a time.
 
+A long pre-token would need a round over all its symbols for each of its many ranks; so pre-tokens beyond ``LONG_BYTES`` keep an index
+of places by rank, and a round touches the places of its rank and their neighbours only.
+
 Defined results: a null text counts 0 tokens and 0 bytes. Repeated rows count each on their own. Whole texts are counted;
 memory is bounded by one batch and a cache of fixed size. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -32,6 +36,8 @@ LOWER_CASE = str.maketrans({"\ua7cb": "\u0264", "\ua7dc": "\u019b", "\u03a3": "\
 CACHE_ENTRIES = 250_000
 #: Symbols merged at once.
 CHUNK_SYMBOLS = 1 << 20
+#: Bytes of a pre-token from which on its places are indexed by rank.
+LONG_BYTES = 2048
 
 
 def merge_counts(symbols: np.ndarray, owner: np.ndarray, n: int, keys: np.ndarray, made: np.ndarray, base: int) -> np.ndarray:
@@ -63,6 +69,62 @@ def merge_counts(symbols: np.ndarray, owner: np.ndarray, n: int, keys: np.ndarra
     return counts
 
 
+def merge_counts_indexed(symbols: np.ndarray, owner: np.ndarray, n: int, keys: np.ndarray, made: np.ndarray, base: int) -> np.ndarray:
+    """As ``merge_counts``, by an index of places by rank; ranks rise over all sequences at once, which are apart anyway."""
+    size = len(symbols)
+    counts = np.bincount(owner, minlength=n)
+    none = np.iinfo(np.int32).max
+    symbol = symbols.astype(np.int32)
+    after = np.arange(1, size + 1, dtype=np.int32)
+    after[np.flatnonzero(np.append(owner[1:] != owner[:-1], True))] = -1
+    before = np.arange(-1, size - 1, dtype=np.int32)
+    before[np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))] = -1
+    rank = np.full(size, none, np.int32)
+    places: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def note(at: np.ndarray):
+        """Ranks of the pairs that begin at these places, and their entries in the index."""
+        for part in range(0, len(at), CHUNK_SYMBOLS):
+            i = at[part : part + CHUNK_SYMBOLS]
+            rank[i] = none
+            i = i[after[i] >= 0]
+            key = symbol[i].astype(np.int64) * base + symbol[after[i]]
+            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[k] == key
+            i, r = i[hit], made[k[hit]]
+            rank[i] = r
+            order = np.argsort(r, kind="stable")
+            i, r = i[order], r[order]
+            cut = np.flatnonzero(np.diff(r)) + 1
+            for value, group in zip(r[np.concatenate([[0], cut])].tolist() if len(r) else (), np.split(i, cut)):
+                if value not in places:
+                    places[value] = []
+                    heapq.heappush(queue, value)
+                places[value].append(group)
+
+    note(np.arange(size))
+    while queue:
+        r = heapq.heappop(queue)
+        i = np.unique(np.concatenate(places.pop(r)))
+        i = i[rank[i] == r]
+        if not len(i):
+            continue
+        # Overlapping places (a a a) are taken from the left, every other one.
+        run = np.concatenate([[True], after[i[:-1]] != i[1:]])
+        nth = np.arange(len(i)) - np.maximum.accumulate(np.where(run, np.arange(len(i)), 0))
+        i = i[nth % 2 == 0]
+        gone = after[i]
+        counts -= np.bincount(owner[i], minlength=n)
+        symbol[i], rank[gone] = r, none
+        after[i] = after[gone]
+        follows = after[i] >= 0
+        before[after[i][follows]] = i[follows]
+        led = before[i]
+        note(np.unique(np.concatenate([i, led[led >= 0]])))
+    return counts
+
+
 class WordEndCounter:
     """Counter for a vocabulary file of the tokenizers library with word ends, NFC, collapsed space and lower case."""
 
@@ -94,17 +156,22 @@ class WordEndCounter:
         return self.pattern.findall(text.lower())
 
     def _learn(self, new: list[str]) -> None:
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        self._merge([b for b in raw if len(b) <= LONG_BYTES], merge_counts)
+        self._merge([b for b in raw if len(b) > LONG_BYTES], merge_counts_indexed)
+
+    def _merge(self, new: list[bytes], merge) -> None:
         while new:
             part, size = [], 0
             while new and (size < CHUNK_SYMBOLS or not part):
-                part.append(new.pop().encode("utf-8", "surrogatepass"))
+                part.append(new.pop())
                 size += len(part[-1])
             sizes = np.array([len(b) for b in part])
             raw = np.frombuffer(b"".join(part), np.uint8)
             symbols = self.inner[raw]
             last = np.cumsum(sizes) - 1
             symbols[last] = self.final[raw[last]]
-            counts = merge_counts(symbols, np.repeat(np.arange(len(part)), sizes), len(part), self.keys, self.made, self.base)
+            counts = merge(symbols, np.repeat(np.arange(len(part)), sizes), len(part), self.keys, self.made, self.base)
             self.cache.update(zip((b.decode("utf-8", "surrogatepass") for b in part), counts.tolist()))
 
     def count(self, texts: list[str | None]) -> list[int]:

@@ -73,3 +73,29 @@ def test_queries_on_odd_rows(spark):
     assert counts.agg(F.sum("n_bytes")).first()[0] == sum(len((t or "").encode()) for t in ts) + len("null id")
     empty = df.limit(0)
     assert tokencount.count_tokens(empty, tokencount.default_path()).count() == bpe.decode(bpe.encode(empty, path), path).count() == 0
+
+
+def test_long_pre_tokens():
+    path = tokencount.default_path()
+    counter, lib = tokencount.WordEndCounter(path), tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(8)
+    words = ["the", "quick", "information", "zebra", "ness", "aaa", "é", "漢", "x"]
+    ts = ["".join(rng.choice(words) for _ in range(n)) for n in (450, 900, 5000, 20_000)]
+    ts += ["".join(chr(rng.randint(97, 122)) for _ in range(30_000)), "a" * 9000, "ab" * 6000 + "a", "!" * 5000 + "word", "é" * 3000]
+    assert counter.count(ts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in ts]
+
+
+def test_indexed_merges_equal_dense_ones():
+    rng = np.random.default_rng(2)
+    base = 40
+    for _ in range(60):
+        pairs = {}
+        for made in range(5, 30):
+            pairs.setdefault((int(rng.integers(0, made)), int(rng.integers(0, made))), made)
+        keys = np.array([a * base + b for a, b in pairs])
+        made = np.array(list(pairs.values()))
+        order = np.argsort(keys)
+        sizes = rng.integers(1, 60, 5)
+        owner, symbols = np.repeat(np.arange(5), sizes), rng.integers(0, 5, sizes.sum())
+        args = (symbols, owner, 5, keys[order], made[order], base)
+        assert tokencount.merge_counts_indexed(*args).tolist() == tokencount.merge_counts(*args).tolist()
