@@ -1,9 +1,11 @@
 """HTML extraction by minimum-cut labelling.
 
-A page becomes a row of text blocks. A classifier of block features gives each block a cost for either label; the costs
+A page becomes a row of text blocks. A classifier of block features (names of elements and classes, words, stops, links, legal
+lines, the share of the page's prose that stands in the same container) gives each block a cost for either label; the costs
 are capacities from the source (content) and to the sink (boilerplate). Blocks next to each other, and blocks that follow
 each other in one container, are joined by smoothness edges, heavier the nearer they are in the DOM. Max-flow finds the
-cheapest labelling; blocks left on the source's side are the main text.
+cheapest labelling; blocks left on the source's side are the main text. All costs are of one scale: names weigh as much as
+several edges, and where names say nothing a block's own text weighs about as much as its neighbours.
 
 Defined results: a null or empty page, or one without content, has the empty text. Character references are decoded, runs
 of white space inside a block (``<br>`` included) become one space, blocks are trimmed and joined by one line feed in page
@@ -40,9 +42,19 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article content main story post entry body articlebody".split())
-#: Capacities, in hundredths: costs of the labels by feature, and smoothness.
-HARD, INSIDE, HEADING, LONG, SHORT, LINKS, MARK = 2000, 300, 150, 150, -60, -250, -200
-NEXT, SAME_PARENT, CONTAINER = 40, 60, 30
+#: Capacities, in hundredths: log-odds of content by feature, and smoothness.
+NAMED, INSIDE, OUTSIDE, HEADING, LONG, PROSE, STOP, BARE, LINKS, LEGAL = -700, 220, -300, 60, 180, 100, 20, -70, -250, -300
+#: What the share of the page's prose in a block's container adds at most, and what it takes away without any.
+SHARE, NO_SHARE = 170, -160
+NEXT, SAME_PARENT, CONTAINER = 30, 90, 30
+#: Words of a block that is prose, and of a long one.
+PROSE_WORDS, LONG_WORDS = 12, 40
+#: How lines that reserve rights or name the publisher begin or what they hold, in the languages of the corpus.
+LEGAL_LINE = re.compile(
+    r"\A(?:©|\(c\) |copyright\b)|\b(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados"
+    r"|impressum|datenschutzerklärung|privacy policy|terms of (?:use|service)|mentions légales|aviso legal)\b",
+    re.I,
+)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)",
@@ -58,10 +70,11 @@ CLOSES_P = BLOCK - {"body", "html"}
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "path", "boiler", "content", "mark")
+    __slots__ = ("text", "links", "tag", "path", "boiler", "content", "words")
 
-    def __init__(self, text, links, tag, path, boiler, content, mark):
-        self.text, self.links, self.tag, self.path, self.boiler, self.content, self.mark = text, links, tag, path, boiler, content, mark
+    def __init__(self, text, links, tag, path, boiler, content):
+        self.text, self.links, self.tag, self.path, self.boiler, self.content = text, links, tag, path, boiler, content
+        self.words = text.count(" ") + 1
 
 
 def _marks(attrs: str, headed: bool) -> tuple[int, bool, bool]:
@@ -84,7 +97,7 @@ def _marks(attrs: str, headed: bool) -> tuple[int, bool, bool]:
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, with what the classifier sees of them."""
     out: list[Block] = []
-    # An open block element: tag, serial number, boilerplate depth, content depth, boilerplate words.
+    # An open block element: tag, serial number, boilerplate depth, content depth, hidden depth.
     stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
     text: list[str] = []
     linked, in_link, serial, at, n = 0, False, 0, 0, len(page)
@@ -94,9 +107,9 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             got = SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
-            if got:
-                tag, _, boiler, content, mark = stack[-1]
-                out.append(Block(got, linked / len(got), tag, tuple(s[1] for s in stack[-4:]), boiler, content, mark))
+            tag, _, boiler, content, hidden = stack[-1]
+            if got and not hidden:  # what is hidden is no text of the page
+                out.append(Block(got, linked / len(got), tag, tuple(s[1] for s in stack[-4:]), boiler, content))
         linked = 0
 
     def add(raw: str):
@@ -150,27 +163,44 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             if tag in VOID:
                 continue
-            _, _, boiler, content, mark = stack[-1]
+            _, _, boiler, content, dark = stack[-1]
             inside = bool(content) or tag in CONTENT_TAGS
             words, named, hidden = _marks(m[2], inside) if m[2] else (0, False, False)
             serial += 1
             # A header outside the article is the site's; one inside belongs to it.
-            hard = hidden or tag in BOILER_TAGS or (tag == "header" and not inside) or (words and not (named and tag in CONTENT_TAGS) and tag not in ("body", "html", "article", "main") and not re.fullmatch("h[1-6]", tag))
-            stack.append((tag, serial, boiler + bool(hard), content + (tag in CONTENT_TAGS or named), mark + words))
+            other = tag in BOILER_TAGS or (tag == "header" and not inside) or (words and not (named and tag in CONTENT_TAGS) and tag not in ("body", "html", "article", "main") and not re.fullmatch("h[1-6]", tag))
+            stack.append((tag, serial, boiler + bool(other), content + (tag in CONTENT_TAGS or named), dark + hidden))
     flush()
     return out
 
 
-def cost(b: Block) -> int:
-    """The classifier: positive, the cost of calling the block boilerplate; negative, of calling it content."""
-    if b.boiler:
-        return -HARD
-    words = b.text.count(" ") + 1
-    score = INSIDE * bool(b.content)
-    score += HEADING if b.tag in ("h1", "h2", "h3") else 0
-    score += LONG if words >= 12 or len(b.text) >= 80 else LONG // 2 if b.text[-1] in ".!?:;。！？" or b.tag in PLAIN else SHORT
-    score += int(LINKS * b.links) if b.links > 0.5 else 0
-    return score + (MARK if re.match(r"(?:©|\(c\) |copyright\b|all rights reserved)", b.text, re.I) else 0)
+def costs_of(blocks: list[Block]) -> list[int]:
+    """The classifier: for each block, positive, the cost of calling it boilerplate; negative, of calling it content."""
+    prose: dict[int, int] = {}
+    for b in blocks:
+        if b.words >= PROSE_WORDS and b.links <= 0.5:
+            box = b.path[-2] if len(b.path) > 1 else 0
+            prose[box] = prose.get(box, 0) + b.words
+    total = sum(prose.values())
+    named = any(b.content and not b.boiler for b in blocks)
+    out = []
+    for b in blocks:
+        score = LONG if b.words >= LONG_WORDS else PROSE if b.words >= PROSE_WORDS else 0
+        score += STOP if b.text[-1] in ".!?:;…。！？\"”»" else 0 if b.tag in PLAIN or score else BARE
+        score += HEADING if b.tag in ("h1", "h2", "h3") else 0
+        score += int(LINKS * b.links) if b.links > 0.5 else 0
+        score += LEGAL if LEGAL_LINE.search(b.text) and b.words < LONG_WORDS else 0
+        if b.boiler:
+            score += NAMED
+        if b.content:
+            score += INSIDE
+        elif named:  # the page names its article: what stands outside is less likely part of it
+            score += OUTSIDE
+        else:
+            share = prose.get(b.path[-2] if len(b.path) > 1 else 0, 0) / total if total else 1
+            score += int(NO_SHARE + (SHARE - NO_SHARE) * share)
+        out.append(score)
+    return out
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
@@ -265,17 +295,16 @@ def min_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     return [not f for f in falls[:n]]
 
 
+def labels_of(page: str | None) -> tuple[list[Block], list[int], list[bool]]:
+    """A page's blocks, what the classifier says of each, and whether the cut keeps it."""
+    blocks = blocks_of(page) if page else []
+    costs = costs_of(blocks)
+    return blocks, costs, min_cut(costs, edges_of(blocks)) if blocks else []
+
+
 def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    blocks = blocks_of(page)
-    if not blocks:
-        return ""
-    costs = [cost(b) for b in blocks]
-    if any(b.content and not b.boiler for b in blocks):
-        # The page names its article: what stands outside is not part of it.
-        costs = [c if b.content or b.boiler else c - INSIDE - LONG for b, c in zip(blocks, costs)]
-    return "\n".join(b.text for b, keep in zip(blocks, min_cut(costs, edges_of(blocks))) if keep)
+    blocks, _, keep = labels_of(page)
+    return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -206,10 +206,45 @@ def test_main_text(spark):
     assert htmlmain.extract(df.limit(0)).count() == 0
 
 
-def test_articles_of_the_test_pages(spark, small):
+def article_of(page):
     import html as h
 
+    inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    want = [re.sub(r"\s+", " ", h.unescape(re.sub(r"</?b>", "", re.sub(r"<br>", " ", x)))).strip() for x in re.split(r"</?(?:p|h1|h2|ul|li)>", inside)]
+    return [x for x in want if x]
+
+
+def test_articles_of_the_test_pages(spark, small):
     for r in spark.read.parquet(f"{small}/pages.parquet").collect():
-        inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        want = [re.sub(r"\s+", " ", h.unescape(re.sub(r"</?b>", "", re.sub(r"<br>", " ", x)))).strip() for x in re.split(r"</?(?:p|h1|h2|ul|li)>", inside)]
-        assert htmlmain.main_text(r.html) == "\n".join(x for x in want if x)
+        assert htmlmain.main_text(r.html) == "\n".join(article_of(r.html))
+
+
+def test_the_cut_decides_where_markup_says_nothing():
+    import pyarrow.parquet as pq
+
+    pages = [p for p in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
+    cut = sign = 0
+    for page in pages:
+        want = article_of(page)
+        blocks, costs, keep = htmlmain.labels_of(re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page).replace(' class="ad"', ""))
+        cut += [b.text for b, k in zip(blocks, keep) if k] == want
+        sign += [b.text for b, c in zip(blocks, costs) if c > 0] == want
+    assert cut > sign and cut >= 0.9 * len(pages)
+
+
+NEUTRAL = """<body><div><a href="/">Home</a> <a href="/n">News of the day</a> <a href="/a">About us</a></div>
+<div><h1>A title</h1><p>%s</p><p>Short one</p><p><a href="/x">A linked line</a></p><p>%s</p><div>Mid remark without a stop</div><p>%s</p></div>
+<div>Alle Rechte vorbehalten. Impressum Datenschutz Kontakt und alles, was sonst noch am Ende einer Seite steht.</div></body>"""
+
+
+def test_a_page_without_helpful_names():
+    long = ["This paragraph number %d has quite some words in it, so that anybody would take it for a part of the article itself, and goes on for a while." % i for i in range(3)]
+    blocks, costs, keep = htmlmain.labels_of(NEUTRAL % tuple(long))
+    flipped = [b.text for b, c, k in zip(blocks, costs, keep) if (c > 0) != k]
+    assert htmlmain.main_text(NEUTRAL % tuple(long)) == "\n".join(["A title", long[0], "Short one", "A linked line", long[1], "Mid remark without a stop", long[2]])
+    assert "A linked line" in flipped
+
+
+def test_hidden_text_and_several_marks():
+    page = '<article><p>Seen text of the article here.</p><p hidden>never</p><div style="display:none"><p>nor this</p></div><div class="share">Tell your friends about it all today, and tomorrow, and the day after, too.</div><p>End of it.</p></article>'
+    assert htmlmain.main_text(page) == "Seen text of the article here.\nEnd of it."
