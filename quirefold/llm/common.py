@@ -1,14 +1,17 @@
-"""Shared storage helpers: durable intermediate tables in the folder every machine can read."""
+"""What the operators here share: words, tables and batches. Intermediate tables are those of ``sources.stored``."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.sources.files import spread
+from quirefold.sources.stored import checkpoint_root, drop, scope, store
+
+__all__ = ["ascii_lower", "checkpoint_root", "drop", "forget", "keeps", "read", "release", "scope", "shuffle_width", "small_batches", "small_tables", "store", "tidy"]
+
 #: A word, for every operator here whose contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -18,45 +21,26 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = {ord(u): ord(low) for u, low in zip(UPPER, LOWER)}
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where it is unset (tests, one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quirefold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def release() -> None:
-    """Gives memory that a finished task no longer needs back to the machine; Python workers live on between tasks."""
+    """Gives memory that a finished task no longer needs back to the machine; Python workers live on between tasks.
+
+    From its first task on a worker takes Arrow's memory from the C library, which gives all of it back.
+    """
     import ctypes
     import gc
 
     import pyarrow as pa
 
     gc.collect()
+    pa.set_memory_pool(pa.system_memory_pool())
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -108,6 +92,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def row_bytes_partitions(spark: SparkSession, n_bytes: int, per_part: int = 32 << 20) -> int:
-    """Partitions so that each holds about ``per_part`` bytes, never fewer than the session's shuffle width."""
-    return max(shuffle_width(spark), -(-int(n_bytes) // per_part))
+#: Bytes of an Arrow batch that a task gives back; the JVM keeps buffers of the largest it has seen.
+BATCH_BYTES = 4 << 20
+
+
+def small_tables(table):
+    """An Arrow table cut into batches of about ``BATCH_BYTES``."""
+    import pyarrow as pa
+
+    rows = max(1, int(table.num_rows * BATCH_BYTES / max(table.nbytes, 1)))
+    return pa.Table.from_batches(table.to_batches(max_chunksize=rows), table.schema)

@@ -26,8 +26,9 @@ from quirefold.llm.urlfilter import host_of, path_of
 from quirefold.llm.words import batches_of
 
 BUCKETS = 1 << 15
-#: Labelled rows of each label that the text model is fitted on, on average, and the most labels there can be.
-SAMPLE_ROWS, MOST_LABELS = 2_000, 64
+#: Labelled rows of each label that the text model is fitted on, on average. Every label is fitted; each takes 128 kB of the model
+#: that is sent out, so its size is bounded by the number of languages.
+SAMPLE_ROWS = 2_000
 #: Trigrams that count at most (neighbours are not independent), and the weight of each.
 MOST_TRIGRAMS, WEIGHT = 120, 0.5
 #: Strength of the smoothing of host towards domain and of domain towards all; of declared and suffix tables; of the background.
@@ -77,7 +78,7 @@ class Trigrams:
 def fit(rows: DataFrame, label: Column, text: Column, key: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and log-likelihoods of every bucket under each of them and under the background (last)."""
     base = rows.select(label.alias("label"), text.alias("t"), key.alias("k")).where("label is not null")
-    found = base.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()
+    found = base.groupBy("label").count().collect()  # one row a language
     if not found:
         return [], np.full((1, BUCKETS), -np.log(BUCKETS))
     share = F.create_map(*[x for r in found for x in (F.lit(r["label"]), F.lit(min(1.0, sample_rows / r["count"])))])
@@ -198,10 +199,12 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
 
 def identify_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """Of a table of documents: ``lang`` is what is declared, ``source`` the host. ``labelled``: rows to fit on, else the same."""
+    """Of a table of documents: ``lang`` is what is declared, ``source`` the host, and what follows its last dot, if it has one, the
+    suffix. ``labelled``: rows to fit on, else the same; a declared language then speaks as a label and as evidence."""
     base = docs if labelled is None else labelled
     model = fit(base, F.col("lang"), F.col("text"), F.col("doc_id"))
-    return identify(docs.select("doc_id", "text", "lang", "source"), model, "doc_id", "text", "lang", None, "source")
+    suffix = F.regexp_extract(F.col("source").cast("string"), r"[^.]\.([^.]+)$", 1)
+    return identify(docs.select("doc_id", "text", "lang", "source", F.when(suffix != "", ascii_lower(suffix)).alias("suffix")), model, "doc_id", "text", "lang", "suffix", "source")
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -81,6 +81,68 @@ def test_language_evidence(spark, small):
     assert wrong.count() == 0
 
 
+def brute_language(rows, model):
+    """Language and confidence of each row (text, declared, suffix, host), the evidence fused one row at a time."""
+    import pyarrow as pa
+
+    names, table = model
+    k, codes = len(names), [*names, langid.NONE]
+    grams = langid.Trigrams(pa.array([r[0] for r in rows], pa.string()))
+    size = np.diff(grams.offset)
+    logp = table.astype(np.float32).astype(float)
+    ll = np.array([logp[:, grams.bucket[a : a + n]].sum(1) * langid.WEIGHT * min(n, langid.MOST_TRIGRAMS) / n if n else np.zeros(k + 1) for a, n in zip(grams.offset[:-1], size)])
+    text = np.exp(ll + np.log([*[(1 - langid.BACKGROUND) / k] * k, langid.BACKGROUND]))
+    post = text / text.sum(1, keepdims=True)
+    told = [i for i in range(len(rows)) if size[i]]
+    total = post[told].sum(0)
+    prior = (total + 1 / (k + 1)) / (total.sum() + 1)
+    known = lambda x: None if not x else x if x in names else "other"
+    domain = lambda h: ".".join(h.split(".")[-2:])
+
+    def given(value, of):
+        if value is None:
+            return np.zeros(k + 1)
+        like = [i for i in told if of(rows[i]) == value]
+        if not like:
+            return np.zeros(k + 1)
+        return np.log((post[like].sum(0) + langid.TABLE * len(like) / total.sum()) / (langid.TABLE + total))
+
+    out = []
+    for i, (t, declared, suffix, host) in enumerate(rows):
+        if not size[i]:
+            out.append((langid.NONE, 0.0))
+            continue
+        start = prior
+        if host is not None:
+            near = [j for j in told if rows[j][3] is not None and domain(rows[j][3]) == domain(host)]
+            wide = (post[near].sum(0) + langid.DOMAIN * prior) / (len(near) + langid.DOMAIN)
+            same = [j for j in told if rows[j][3] == host and j != i]
+            start = (post[same].sum(0) + langid.HOST * wide) / (len(same) + langid.HOST)
+        fused = np.log(start) + ll[i] + given(known(declared), lambda r: known(r[1])) + given(suffix, lambda r: r[2])
+        p = np.exp(fused - fused.max())
+        out.append((codes[int(p.argmax())], p.max() / p.sum()))
+    return out
+
+
+def test_fused_evidence_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.fit(docs, F.col("lang"), F.col("text"), F.col("doc_id"))
+    rng = random.Random(4)
+    texts = [" ".join((r.text or "").split()[a : a + rng.choice([1, 2, 3, 40])]) for r in docs.orderBy("doc_id").limit(120).collect() for a in (0, 7)] + [None, "", "12 #", "x y"]
+    rows = [(t, rng.choice([*model[0], "xx", "", None]), rng.choice(["de", "com", None]), rng.choice(["a.b.de", "c.b.de", "b.de", "one", None, "x.y.com"])) for t in texts]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, declared string, suffix string, host string")
+    got = {r.id: r for r in langid.identify(df, model).collect()}
+    for i, (language, confidence) in enumerate(brute_language(rows, model)):
+        assert got[i].language == language and abs(got[i].confidence - confidence) < 1e-6, (i, rows[i])
+        assert got[i].accepted == (language != langid.NONE and confidence >= 0.5)
+
+
+def test_every_language_is_fitted(spark):
+    sets = [chr(97 + i // 9) + "qz" + chr(97 + i % 9) for i in range(81)]
+    docs = spark.createDataFrame([(i, f"{w}{w} {w} o{w} {w}u " * 4, w, None) for i, w in enumerate(sets)], "doc_id long, text string, lang string, source string")
+    assert {r.language for r in langid.identify_documents(docs).collect()} == set(sets)
+
+
 def test_a_host_tips_a_text_that_says_nothing(spark):
     langs = {"aa": "kappa rolanda tikku ", "bb": "zuvex milor penn "}
     rows = [(i, langs[x] * 3, x, f"{x}.example.org") for i, x in enumerate(["aa", "bb"] * 20)] + [(100, "qqq", None, "aa.example.org"), (101, "qqq", None, "bb.example.org")]
