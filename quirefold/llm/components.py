@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import store
+from quirefold.llm.common import drop, store
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         after = store(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v"))), label)
         gone = after.join(now, ["a", "b"], "left_anti").limit(1).count()
         same = not gone and after.count() == now.count()
+        drop(now)
         now = after
         if same:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
-from quirefold.llm.common import forget, read, release, shuffle_width, small_batches, store, tidy
+from quirefold.llm.common import forget, read, release, shuffle_width, small_batches, small_tables, store, tidy
 from quirefold.llm.components import components
 from quirefold.llm.words import Words, batches_of, mix, span_hash
 
@@ -365,7 +365,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         cut = zip(first.tolist(), np.append(first[1:], len(rec)).tolist())
         out = pa.table({"part": pa.array(parts, pa.int32()), "counted": pa.array([rec[a:b].tobytes() for a, b in cut], pa.binary())})
         release()
-        return out
+        return small_tables(out)
 
     def rarest(sizes: pa.Table, counted: pa.Table) -> pa.Table:
         rec = np.concatenate([np.frombuffer(x, _COUNTED) for x in counted.column("counted").to_pylist()] or [np.zeros(0, _COUNTED)])

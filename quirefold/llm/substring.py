@@ -4,13 +4,14 @@ A word goes if some window of ``width`` words in a row covers it that also start
 its anchor, the smallest hash among its grams; equal windows have equal anchors. A run of windows with one anchor and the
 words they cover are a context. Contexts whose words occur twice are repeats as a whole and need no parsing. The others
 whose anchor occurs elsewhere become the reference blocks, with one copy of each repeated context of their anchors: a
-block is indexed by one suffix order, each context is factored greedily against all others of its block, and factors of
-``width`` words or more become spans, with the windows that straddle the factors' borders checked against the index too. Anchors with very many contexts are salted over
-several blocks, and then all their windows meet once more by their own hash, so no task holds all of them.
+block is indexed by one suffix order, each context is factored greedily, from left to right, by lookups in the index of all others
+of its block; factors of ``width`` words or more become spans, and of the other windows those that straddle a factor's border are
+looked up too. Anchors with very many contexts are salted over several blocks, and then all their windows meet once more by two
+hashes of their own, so no task holds all of them.
 
 Defined results: a null or empty text has no words; texts with fewer words than a window keep all. Repeated rows are repeats
 of each other. Null ids are ids like others. Words keep their bytes; kept words are joined by one space. Whole texts are
-processed; all columns of the input pass through, so names may clash with none but the three that are added.
+processed; all columns of the input pass through, but for those that bear the name of one of the three that are added.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import bloom
-from quirefold.llm.common import forget, read, release, shuffle_width, small_batches, store, tidy
+from quirefold.llm.common import forget, read, release, shuffle_width, small_batches, small_tables, store, tidy
 from quirefold.llm.words import Words, batches_of, grams, mix, sliding_argmin, span_hash
 
 #: Words of a window, and of the grams that anchor it.
@@ -30,6 +31,10 @@ WIDTH, GRAM = 35, 10
 SALT_AT, BLOCK_WORDS, RANGE_WINDOWS = 16_384, 1 << 19, 1 << 20
 
 
+#: Columns that the operator adds.
+ADDED = ("n_words", "n_removed", "kept")
+
+
 class Contexts:
     """The contexts of a batch: ``doc``, first window ``start`` (a word of the batch), number of windows ``n``, anchor ``h``, digest ``dg``."""
 
@@ -61,53 +66,81 @@ def _both(h: np.ndarray, dg: np.ndarray, k1: np.ndarray | None = None) -> np.nda
     return x if k1 is None else mix(x + mix(k1))
 
 
-def matches(words: np.ndarray, owner: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
-    """For each place of ``starts``: how many words from there on also follow another place of ``starts``.
+class Index:
+    """All places of a reference block from which a factor may be copied (``starts``), in the order of what follows them.
+
+    Texts end where ``owner`` changes. The order comes from doubling: ranks by 1, 2, 4 ... words, exact by construction and for
+    matches of up to ``most`` words.
+    """
 
-    Texts end where ``owner`` changes. Lengths up to ``most`` are exact. The suffix order comes from doubling: ranks by 1,
-    2, 4 ... words, exact by construction; the match with a neighbour in that order is found by halving over them.
+    def __init__(self, words: np.ndarray, owner: np.ndarray, starts: np.ndarray, most: int):
+        n = len(words)
+        last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+        self.end = last[np.searchsorted(last, np.arange(n))].astype(np.int32)
+        self.ranks, size = [np.unique(words, return_inverse=True)[1].astype(np.int32)], 1
+        while size < most:
+            now, ahead = self.ranks[-1], np.arange(n) + size
+            then = np.where(ahead <= self.end, now[np.minimum(ahead, n - 1)] + 1, 0)  # a text that ends goes first
+            self.ranks.append(np.unique(now * np.int64(n + 1) + then, return_inverse=True)[1].astype(np.int32))
+            size *= 2
+        self.order = starts[np.argsort(self.ranks[-1][starts], kind="stable")] if n else starts
+        self.place = np.full(n, -1, np.int64)
+        self.place[self.order] = np.arange(len(self.order))
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words from places a and b on are the same, by halving over the ranks."""
+        length, last = np.zeros(len(a), np.int64), len(self.end) - 1
+        for level in range(len(self.ranks) - 1, -1, -1):
+            step, rank = 1 << level, self.ranks[level]
+            fits = (a + length + step - 1 <= self.end[a]) & (b + length + step - 1 <= self.end[b])
+            length += step * (fits & (rank[np.minimum(a + length, last)] == rank[np.minimum(b + length, last)]))
+        return length
+
+    def longest(self, places: np.ndarray) -> np.ndarray:
+        """For each of ``places``, all of them starts: the words from there on that also follow another start. The longest match
+        stands next to it in the order."""
+        at, out = self.place[places], np.zeros(len(places), np.int64)
+        for to in (at - 1, at + 1):
+            ok = np.flatnonzero((to >= 0) & (to < len(self.order)))
+            out[ok] = np.maximum(out[ok], self._common(places[ok], self.order[to[ok]]))
+        return out
+
+
+def parse(index: Index, first: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, end) of the spans of contexts whose starts are ``first`` and the ``n`` - 1 places after it.
+
+    Each context is factored greedily from the left, all of them side by side: a factor is the longest copy there is of what comes
+    next, or else one word. Factors of ``width`` words are spans; windows that begin in a factor and end beyond it are looked up.
     """
-    if not len(starts):
-        return np.zeros(0, np.int64)
-    n = len(words)
-    last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
-    end = last[np.searchsorted(last, np.arange(n))]
-    ranks, size = [np.unique(words, return_inverse=True)[1].astype(np.int64)], 1
-    while size < most:
-        now, ahead = ranks[-1], np.arange(n) + size
-        then = np.where(ahead <= end, now[np.minimum(ahead, n - 1)] + 1, 0)  # a text that ends goes first
-        ranks.append(np.unique(now * (n + 1) + then, return_inverse=True)[1].astype(np.int64))
-        size *= 2
-    order = np.argsort(ranks[-1][starts], kind="stable")
-    a, b = starts[order[:-1]], starts[order[1:]]
-    length = np.zeros(len(a), np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        step = 1 << level
-        x, y = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
-        length += step * ((ranks[level][x] == ranks[level][y]) & (a + length + step - 1 <= end[a]) & (b + length + step - 1 <= end[b]))
-    out = np.zeros(len(starts), np.int64)
-    out[order[1:]] = length
-    out[order[:-1]] = np.maximum(out[order[:-1]], length)
-    return out
-
-
-def parse(match: list[int], width: int) -> list[tuple[int, int]]:
-    """Greedy factors of one context from its match lengths; the spans of those long enough and of windows over their borders."""
-    spans, i, n = [], 0, len(match)
-    while i < n:
-        size = max(match[i], 1)
-        if size >= width:
-            spans.append((i, i + size))
-        # Windows that begin in this factor and end beyond it.
-        for s in range(max(i + 1, i + size - width + 1), min(i + size, n)):
-            if match[s] >= width:
-                spans.append((s, s + match[s]))
-        i += size
-    return spans
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, salt_at: int = SALT_AT, block_words: int = BLOCK_WORDS, range_windows: int = RANGE_WINDOWS) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space)."""
+    none = np.zeros(0, np.int64)
+    spans = [(none, none, none)]
+    who, at = np.flatnonzero(n > 0), np.zeros(int((n > 0).sum()), np.int64)
+    while len(who):
+        size = np.maximum(index.longest(first[who] + at), 1)
+        to = at + size
+        whole = size >= width
+        spans.append((who[whole], at[whole], to[whole]))
+        low = np.maximum(at + 1, to - width + 1)
+        count = np.maximum(np.minimum(to, n[who]) - low, 0)
+        border = np.repeat(np.arange(len(who)), count)
+        s = np.arange(len(border)) - np.repeat(np.cumsum(count) - count, count) + low[border]
+        match = index.longest(first[who[border]] + s)
+        hit = match >= width
+        spans.append((who[border[hit]], s[hit], s[hit] + match[hit]))
+        more = to < n[who]
+        who, at = who[more], to[more]
+    return tuple(np.concatenate(x) for x in zip(*spans))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, salt_at: int = SALT_AT, block_words: int = BLOCK_WORDS, range_windows: int = RANGE_WINDOWS, shortcut: bool = True) -> DataFrame:
+    """``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space); a column of ``docs`` of one of
+    these names gives way to it. ``shortcut``: contexts that occur twice become spans by their digest; else they are parsed too."""
+    out = removed(docs, id_col, text_col, width, gram, salt_at, block_words, range_windows, shortcut)
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, salt_at: int = SALT_AT, block_words: int = BLOCK_WORDS, range_windows: int = RANGE_WINDOWS, shortcut: bool = True) -> DataFrame:
+    """(row, n_words, n_removed, kept): as ``remove_repeats``, each row of ``docs`` a struct."""
     spark = small_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     texts = docs.select(*_row_keys(docs, id_col, text_col), F.col(text_col).alias("t"))
@@ -127,16 +160,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     seen = texts.select("k1", "t").mapInArrow(tidy(count), "h long, dg long, c long, k1 long").groupBy("h", "dg").agg(F.sum("c").alias("c"), F.min("k1").alias("k1"))
     anchors = seen.groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("alone")).where("all > 1")
-    parts = F.when(F.col("alone") > 0, F.ceil(F.col("kinds") / salt_at)).otherwise(0).cast("int")
+    parts = F.when(F.col("alone") > 0, F.ceil(F.col("kinds") / salt_at)).otherwise(0).cast("int") if shortcut else F.ceil(F.col("all") / salt_at).cast("int")
     shared = store(seen.join(anchors, "h").select("h", "dg", "c", "k1", parts.alias("salts")), "substring-contexts")
     n_whole, n_parsed, n_hot = shared.agg(F.count_if(F.col("c") > 1), F.count_if(F.col("salts") > 0), F.count_if(F.col("salts") > 1)).first()
-    whole, parsed = shared.where("c > 1").select("h", "dg"), shared.where("salts > 0")
+    whole, parsed = shared.where("c > 1" if shortcut else "false").select("h", "dg"), shared.where("salts > 0")
 
     def sieve(keys: DataFrame, n: int):
         # Of hashes that executors can make again in numpy.
         return spark.sparkContext.broadcast(bloom.collect(keys.mapInArrow(_pack, "x long"), F.col("x"), n))
 
-    whole_sieve, parsed_sieve = sieve(whole, n_whole), sieve(parsed.select("h", "dg", "k1"), n_parsed)
+    # With the shortcut a context that occurs twice is reference once, in the row ``k1``; else it is parsed wherever it occurs.
+    named = ["h", "dg", "k1"] if shortcut else ["h", "dg"]
+    whole_sieve, parsed_sieve = sieve(whole, n_whole), sieve(parsed.select(*named), n_parsed)
 
     def repeats(batches):
         """Contexts that may be repeats as a whole; equal ones in a row are one."""
@@ -158,7 +193,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = texts.mapInArrow(tidy(repeats), "k1 long, k2 long, h long, dg long, s int, e int").join(whole, ["h", "dg"], "left_semi").select("k1", "k2", "s", "e")
     if n_parsed:
         most = 2 * width - gram  # words of a context
-        spans = spans.unionByName(_factored(texts, parsed, parsed_sieve, max(1, -(-n_parsed * most // block_words)), n_hot and -(-n_hot * most // range_windows), width, gram))
+        spans = spans.unionByName(_factored(texts, parsed, named, parsed_sieve, max(1, -(-n_parsed * most // block_words)), n_hot and -(-n_hot * most // range_windows), width, gram))
     # Spans that touch are one; a document's spans are as many as its length allows.
     by_row = store(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "substring-spans")
     n_rows = by_row.count()
@@ -185,8 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), _i64(n), _i64(n - kept), pa.array(_joined(w, keep), pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"])
 
     both = touched.select("row", "spans").union(clean.select("row", "spans"))
-    out = both.mapInArrow(tidy(cut), _out_schema(keyed.schema["row"]))
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns], "n_words", "n_removed", "kept")
+    return both.mapInArrow(tidy(cut), _out_schema(keyed.schema["row"]))
 
 
 def _out_schema(row):
@@ -222,7 +256,7 @@ def _joined(w: Words, keep: np.ndarray) -> list[bytes]:
     return [out[a:b] for a, b in zip(place[:-1], place[1:])]
 
 
-def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: int, width: int, gram: int) -> DataFrame:
+def _factored(texts: DataFrame, parsed: DataFrame, named: list[str], sieve, blocks: int, ranges: int, width: int, gram: int) -> DataFrame:
     """Spans of contexts that are no repeats as a whole, by factoring them within their blocks."""
     blocks = max(shuffle_width(texts.sparkSession), blocks)
 
@@ -231,17 +265,18 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
             for part in batches_of(b, 2):
                 w = Words(part.column(2))
                 x = Contexts(w, width, gram)
-                i = np.flatnonzero(bloom.test(sieve.value, _both(x.h, x.dg, part.column(0).to_numpy().view(np.uint64)[x.doc])))
+                row = part.column(0).to_numpy().view(np.uint64)[x.doc] if "k1" in named else None
+                i = np.flatnonzero(bloom.test(sieve.value, _both(x.h, x.dg, row)))
                 if len(i):
                     d = pa.array(x.doc[i])
                     last = x.start[i] + x.n[i] + width - 1
                     text = [w.text(p, q) for p, q in zip(x.start[i].tolist(), last.tolist())]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(d), part.column(1).take(d), _i64(x.h[i]), _i64(x.dg[i]), pa.array((x.start[i] - w.offset[x.doc[i]]).astype(np.int32)), pa.array(text, pa.binary()).cast(pa.string())], ["k1", "k2", "h", "dg", "s", "ctx"])
 
-    found = texts.mapInArrow(tidy(contexts), "k1 long, k2 long, h long, dg long, s int, ctx string").join(parsed, ["h", "dg", "k1"])
+    found = texts.mapInArrow(tidy(contexts), "k1 long, k2 long, h long, dg long, s int, ctx string").join(parsed if "k1" in named else parsed.drop("k1"), named)
     # Of a repeated context one copy is reference; the rare row that has it twice gives it twice, which changes nothing.
-    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("dg"), F.col("salts"))).otherwise(0)
-    dealt = found.select(F.pmod(F.xxhash64("h", salt), F.lit(blocks)).alias("block"), "k1", "k2", "s", "ctx", (F.col("salts") > 1).alias("hot"), (F.col("c") == 1).alias("alone"))
+    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("dg", "k1", "s"), F.col("salts"))).otherwise(0)
+    dealt = found.select(F.pmod(F.xxhash64("h", salt), F.lit(blocks)).alias("block"), "k1", "k2", "s", "ctx", (F.col("salts") > 1).alias("hot"), (F.col("c") == 1 if "k1" in named else F.lit(True)).alias("alone"))
 
     def factor(table: pa.Table) -> pa.Table:
         forget()
@@ -249,19 +284,17 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
         offset = np.concatenate([[0], np.cumsum(size)])
         owner = np.repeat(np.arange(len(size)), size)
         starts = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(offset[:-1], offset[1:])] or [np.zeros(0, np.int64)]).astype(np.int64)
-        match = matches(hashes, owner, starts, 64 if width < 64 else 1 << width.bit_length()).tolist()
-        row, s, e, at = [], [], [], 0
-        base = table.column("s").to_pylist()
+        index = Index(hashes, owner, starts, 64 if width < 64 else 1 << width.bit_length())
+        base = table.column("s").to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
         alone = table.column("alone").to_numpy(zero_copy_only=False).astype(bool) if table.num_rows else np.zeros(0, bool)
-        for i, n in enumerate((size - width + 1).tolist()):
-            for a, b in parse(match[at : at + n], width) if alone[i] else ():
-                row.append(i)
-                s.append(base[i] + a)
-                e.append(base[i] + b)
-            at += n
+        asked = np.flatnonzero(alone)
+        row, s, e = parse(index, offset[:-1][asked], np.maximum(size - width + 1, 0)[asked], width)
+        row = asked[row]
+        s, e = base[row] + s, base[row] + e
+        del index
         pick = pa.array(row, pa.int64())
         none = pa.nulls(len(row), pa.int32())
-        out = {"k1": table.column("k1").take(pick), "k2": table.column("k2").take(pick), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32()), "range": none, "windows": pa.nulls(len(row), pa.binary())}
+        out = {"k1": table.column("k1").take(pick), "k2": table.column("k2").take(pick), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "range": none, "windows": pa.nulls(len(row), pa.binary())}
         result = pa.table(out)
         hot = table.column("hot").to_numpy(zero_copy_only=False).astype(bool) if table.num_rows else np.zeros(0, bool)
         if hot.any():
@@ -270,11 +303,10 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
             mine = hot[o]
             h, where, o = grams(hashes, width)[starts[mine]], starts[mine], o[mine]
             rec = np.zeros(len(h), _WINDOW)
-            rec["h"], rec["k1"], rec["k2"] = h, table.column("k1").to_numpy()[o], table.column("k2").to_numpy()[o]
-            rec["s"] = np.array(base)[o] + where - offset[o]
+            rec["h"], rec["g"], rec["k1"], rec["k2"] = h, grams(mix(hashes ^ _SECOND), width)[where], table.column("k1").to_numpy()[o], table.column("k2").to_numpy()[o]
+            rec["s"] = base[o] + where - offset[o]
             rec["c"] = np.where(alone[o], 1, 2)
-            rec = rec[np.argsort(rec["h"], kind="stable")]
-            first = np.flatnonzero(np.concatenate([[True], rec["h"][1:] != rec["h"][:-1]]))
+            rec, first = _same_windows(rec)
             total = np.add.reduceat(rec["c"], first)
             rec = rec[first]
             rec["c"] = np.minimum(total, 2)
@@ -284,7 +316,7 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
             more = pa.table({"k1": null, "k2": null, "s": pa.nulls(len(rows), pa.int32()), "e": pa.nulls(len(rows), pa.int32()), "range": pa.array([r for r, _ in rows], pa.int32()), "windows": pa.array([x for _, x in rows], pa.binary())})
             result = pa.concat_tables([result, more])
         release()
-        return result
+        return small_tables(result)
 
     factors = dealt.groupBy("block").applyInArrow(factor, "k1 long, k2 long, s int, e int, range int, windows binary")
     if not ranges:
@@ -293,8 +325,7 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
 
     def meet(table: pa.Table) -> pa.Table:
         rec = np.concatenate([np.frombuffer(x, _WINDOW) for x in table.column("windows").to_pylist()] or [np.zeros(0, _WINDOW)])
-        rec = rec[np.argsort(rec["h"], kind="stable")]
-        first = np.flatnonzero(np.concatenate([[True], rec["h"][1:] != rec["h"][:-1]])) if len(rec) else np.zeros(0, np.int64)
+        rec, first = _same_windows(rec)
         total = np.add.reduceat(rec["c"], first) if len(rec) else first
         rec = rec[(np.repeat(total, np.diff(np.append(first, len(rec)))) > 1) & (rec["c"] == 1)] if len(rec) else rec
         return pa.table({"k1": pa.array(rec["k1"].copy()), "k2": pa.array(rec["k2"].copy()), "s": pa.array(rec["s"].copy()), "e": pa.array(rec["s"] + np.int32(width))})
@@ -303,6 +334,13 @@ def _factored(texts: DataFrame, parsed: DataFrame, sieve, blocks: int, ranges: i
     return factors.where("range is null").select("k1", "k2", "s", "e").unionByName(met)
 
 
+def _same_windows(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with equal ones side by side, and the first place of each kind; two hashes of 64 bits tell them apart."""
+    rec = rec[np.lexsort((rec["g"], rec["h"]))]
+    new = (rec["h"][1:] != rec["h"][:-1]) | (rec["g"][1:] != rec["g"][:-1])
+    return rec, np.flatnonzero(np.concatenate([[True], new])) if len(rec) else np.zeros(0, np.int64)
+
+
 def _hashed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a one-column table of texts, one after another, and how many each text has; made slice by slice."""
     out, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -314,7 +352,9 @@ def _hashed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(size)
 
 
-_WINDOW = np.dtype([("h", np.uint64), ("k1", np.int64), ("k2", np.int64), ("s", np.int32), ("c", np.int32)])
+#: Turns word hashes into others, for a second hash of a window.
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+_WINDOW = np.dtype([("h", np.uint64), ("g", np.uint64), ("k1", np.int64), ("k2", np.int64), ("s", np.int32), ("c", np.int32)])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 from quirefold.llm.components import components
 from quirefold.llm.jaccard import jaccard_components, keep_one
-from quirefold.llm.substring import matches, parse, remove_repeats
+from quirefold.llm.substring import Index, parse, remove_repeats
 from quirefold.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,12 +49,17 @@ def test_match_lengths_and_factors():
                 k += 1
             return k
 
-        want = [max([common(a, b) for b in starts if b != a], default=0) for a in starts]
-        assert matches(words, owner, starts, 16).tolist() == want
-        # Where every place counts, factors and their borders cover what all places together cover.
-        full = matches(words, owner, np.arange(len(words)), 16).tolist()
-        covered = {i for a, b in parse(full, 3) for i in range(a, b)}
-        assert covered == {i for s, m in enumerate(full) if m >= 3 for i in range(s, s + m)}
+        index = Index(words, owner, starts, 16)
+        assert index.longest(starts).tolist() == [max([common(a, b) for b in starts if b != a], default=0) for a in starts]
+        # Factors and their borders cover what all places together cover, with fewer lookups.
+        every = np.arange(len(words))
+        index, first, looked = Index(words, owner, every, 16), np.cumsum([0] + [len(s) for s in lists[:-1]]), []
+        full, longest = index.longest(every).tolist(), index.longest
+        index.longest = lambda places: (looked.extend(places.tolist()), longest(places))[1]
+        who, s, e = parse(index, first, np.array([len(x) for x in lists]), 3)
+        assert len(set(looked)) == len(looked)
+        covered = {first[w] + i for w, a, b in zip(who, s, e) for i in range(a, b)}
+        assert covered == {i for p, m in enumerate(full) if m >= 3 for i in range(p, p + m)}
 
 
 def brute_substring(rows, width):
@@ -84,7 +89,7 @@ def passages(rng, n, most):
     return out + [(7, None), (8, ""), (9, " \n "), out[0], out[0], (99, "é漢 " * 50)]
 
 
-@pytest.mark.parametrize("width,limits", [(8, {"gram": 3}), (35, {}), (8, {"gram": 3, "salt_at": 2, "block_words": 200, "range_windows": 50})])
+@pytest.mark.parametrize("width,limits", [(8, {"gram": 3}), (35, {}), (8, {"gram": 3, "salt_at": 2, "block_words": 200, "range_windows": 50}), (8, {"gram": 3, "shortcut": False}), (35, {"salt_at": 3, "shortcut": False})])
 def test_substring_dedup(spark, width, limits):
     rows = passages(random.Random(width), 90, 110)
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, k1 long, spans string")
@@ -95,6 +100,15 @@ def test_substring_dedup(spark, width, limits):
     assert out.columns == ["doc_id", "text", "k1", "spans", "n_words", "n_removed", "kept"]
 
 
+def test_substring_dedup_of_a_very_long_text_and_clashing_names(spark):
+    rng = random.Random(11)
+    rows = [(1, " ".join(str(rng.randint(0, 10**6)) for _ in range(150_000))), (2, "x y z " * 20_000)]
+    rows += [(3, " ".join(rows[0][1].split()[70_000:70_090])), (4, "plain and short")]
+    df = spark.createDataFrame([(d, t, "k", 5, 6) for d, t in rows], "doc_id long, text string, kept string, n_words int, n_removed int")
+    got = sorted(tuple(r) for r in remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept").collect())
+    assert got == sorted(brute_substring(rows, 35))
+
+
 def test_substring_dedup_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(df).count() == 0
