@@ -1,14 +1,15 @@
 """Facts from chunks by any extractor, and what makes its raw output strict: JSON recovery, type aliases, clamped citations,
 schema checks.
 
-An extractor is a callable ``(prompt: str) -> str`` that gives JSON text. It runs inside Arrow batches, once loaded per worker.
-A task may be retried, so an extractor should give the same answer to the same prompt.
+An extractor is a callable ``(prompt: str) -> str`` that gives JSON text, or with ``stepwise`` the next piece of it. It runs inside
+Arrow batches, loaded once per task. A task may be retried, so an extractor should give the same answer to the same prompt.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,7 +23,7 @@ from quirefold.operators.facts import CITATION
 
 FACT_KEYS = ("fact_id", "fact_type", "statement", "strength", "requires_human_review", "subject", "condition", "action", "notes", "citations", "raw")
 CITATION_KEYS = ("chunk_id", "line_start", "line_end", "quote")
-RAW_FACTS = "array<struct<fact_type:string,statement:string,strength:string,requires_human_review:boolean,subject:string,condition:string,action:string,notes:string,citations:array<struct<chunk_id:string,line_start:string,line_end:string,quote:string>>>>"
+RAW_FACTS = "array<struct<fact_type:string,statement:string,strength:string,requires_human_review:boolean,subject:string,condition:string,action:string,notes:string,raw:string,citations:array<struct<chunk_id:string,line_start:string,line_end:string,quote:string>>>>"
 OPENING = '{"extracted_facts"'
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}\[\]]', re.S)
 
@@ -97,17 +98,108 @@ def smoke_test(load: Callable[[], Callable[[str], str]]) -> bool:
     return parse_strict(load()('Answer with one JSON object and nothing else.\n\nSay {"extracted_facts": []}'))[0] is not None
 
 
-def run_extractor(chunks: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """``chunks`` with ``output``: what the extractor says of each. ``load`` makes the extractor once for each task."""
+#: Tokens asked for at a time and the bound from which on no more are asked for; attempts and seconds between them.
+STEP_TOKENS, MOST_TOKENS, ATTEMPTS, PAUSE = 256, 1800, 3, 1.0
+
+
+def _citable(citation: dict, start: int, end: int) -> bool:
+    """Whether a citation reaches into the chunk, with missing bounds taken from it."""
+    try:
+        lo, hi = (int(default if (x := citation.get(k)) is None else x) for k, default in (("line_start", start), ("line_end", end)))
+    except (TypeError, ValueError):
+        return False
+    return hi >= start and lo <= end
+
+
+def judge(text: str, start: int, end: int) -> str:
+    """What a chunk's output is: ``ok``; ``more`` if it is no JSON yet or a fact cites nothing of the chunk; else the fault."""
+    found, _ = parse_strict(text)
+    if found is None:
+        return "more"
+    obj = json.loads(found)
+    if not isinstance(obj, dict):
+        return "no object"
+    if other := sorted(set(obj) - {"extracted_facts"}):
+        return f"unknown key {other[0]}"
+    facts = obj.get("extracted_facts", [])
+    if not isinstance(facts, list) or not all(isinstance(f, dict) for f in facts):
+        return "extracted_facts is no list of objects"
+    for f in facts:
+        kind = f.get("fact_type")
+        kind = T.TYPE_ALIASES.get(kind.strip().lower(), kind) if isinstance(kind, str) else kind
+        cites = f.get("citations")
+        faults = (
+            (sorted(set(f) - set(FACT_KEYS)), "unknown key"),
+            (not re.fullmatch("f[0-9]{4}", str(f.get("fact_id"))), "fact_id"),
+            (kind not in T.FACT_TYPES, "fact_type"),
+            (f.get("strength", "unclear") not in T.STRENGTHS, "strength"),
+            (not (isinstance(f.get("statement"), str) and f["statement"]), "statement"),
+            (not isinstance(cites, list) or not all(isinstance(c, dict) for c in cites), "citations"),
+        )
+        if fault := next((name for bad, name in faults if bad), None):
+            return fault
+        if other := sorted({k for c in cites for k in c} - set(CITATION_KEYS)):
+            return f"unknown citation key {other[0]}"
+    return "ok" if all(any(_citable(c, start, end) for c in f["citations"]) for f in facts) else "more"
+
+
+def grow_output(extract: Callable[[str], str], prompt: str, start: int, end: int, step: int = STEP_TOKENS, most: int = MOST_TOKENS) -> str:
+    """An output asked for piece by piece, behind an opening brace, until it is whole; ValueError if it never is or has a fault."""
+    text, asked, verdict = "{", 0, "more"
+    while verdict == "more" and asked < most:
+        text += extract(prompt + text)
+        asked += step
+        verdict = judge(text, start, end)
+    if verdict != "ok":
+        raise ValueError("no whole output within the bound" if verdict == "more" else verdict)
+    return text
+
+
+def attempted(ask: Callable[[], str], attempts: int = ATTEMPTS, pause: float = PAUSE) -> str:
+    """The first answer that is no ValueError; the last one's is raised."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return ask()
+        except ValueError:
+            if not left:
+                raise
+            time.sleep(pause)
+    raise ValueError("no attempt")
+
+
+def run_extractor(chunks: DataFrame, load: Callable[[], Callable[[str], str]], stepwise: bool = False, pause: float = PAUSE) -> DataFrame:
+    """``chunks`` with ``output``: what the extractor says of each, asked up to ``ATTEMPTS`` times for one without fault.
+
+    ``load`` makes the extractor once for each task. ``stepwise``: it gives ``STEP_TOKENS`` tokens at a time of one output. If all
+    attempts fail the last output stands, for the checks that follow to refuse; a stepwise one that never ends fails the task.
+    """
     prompted = chunks.withColumn("prompt", extraction_prompt(F.col("chunk_id"), F.col("line_start"), F.col("line_end"), F.col("text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = load()
+
+        def answer(prompt: str, start: int, end: int) -> str:
+            if stepwise:
+                return attempted(lambda: grow_output(extract, prompt, start, end), pause=pause)
+            said = ""
+
+            def ask() -> str:
+                nonlocal said
+                said = extract(prompt)
+                if (verdict := judge(said, start, end)) != "ok":
+                    raise ValueError(verdict)
+                return said
+
+            try:
+                return attempted(ask, pause=pause)
+            except ValueError:
+                return said
+
         for pdf in batches:
             if (pdf["prompt"].str.strip() == "").any():
                 raise ValueError("empty prompt")
-            yield pdf.drop(columns="prompt").assign(output=[extract(p) for p in pdf["prompt"]])
+            yield pdf.drop(columns="prompt").assign(output=[answer(*x) for x in zip(pdf["prompt"], pdf["line_start"].tolist(), pdf["line_end"].tolist())])
 
     return prompted.mapInPandas(run, fields + ", output string")
 
@@ -123,7 +215,7 @@ def facts_of(outputs: DataFrame) -> DataFrame:
         "doc_id", ord_.alias("ord"), T.numbered_id("f", ord_).alias("fact_id"), T.alias_fact_type(F.col("f.fact_type")).alias("fact_type"), F.col("f.statement").alias("statement"),
         F.coalesce("f.strength", F.lit("unclear")).alias("strength"), F.coalesce("f.requires_human_review", F.lit(False)).alias("requires_human_review"),
         F.col("f.subject").alias("subject"), F.col("f.condition").alias("condition"), F.col("f.action").alias("action"), F.col("f.notes").alias("notes"),
-        F.lit(None).cast("string").alias("raw"), cites.alias("citations"),
+        F.col("f.raw").alias("raw"), cites.alias("citations"),
     )
 
 
@@ -132,24 +224,68 @@ def failed_outputs(outputs: DataFrame) -> DataFrame:
     return outputs.select("doc_id", "chunk_id", parse_output(F.col("output"))["how"].alias("how")).where("how in ('empty', 'invalid')")
 
 
-def schema_violations(facts_json: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, rule, detail) of JSON texts of facts: unreadable, unknown keys, wrong ids and names, nothing stated, nothing cited."""
+def _rule(name: str, bad: Column, detail: Column | None = None) -> Column:
+    detail = F.lit("") if detail is None else F.coalesce(detail, F.lit(""))
+    return F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(name).alias("rule"), detail.alias("detail")))
+
+
+def _others(keys: Column, known) -> Column:
+    return F.array_sort(F.array_except(keys, F.array(*map(F.lit, known))))
+
+
+def schema_violations(facts_json: DataFrame, id_col: str, json_col: str, cited: Column | None = None) -> DataFrame:
+    """(id, rule, detail) of JSON texts of facts: unreadable, unknown keys, wrong ids and names, nothing stated, nothing cited.
+
+    Near misses of fact types are what they stand for. ``cited``: how many citations a fact has, if not all it names are valid.
+    """
     m = F.from_json(F.col(json_col), "map<string,string>")
-    rows = facts_json.select(F.col(id_col), m.alias("m"), F.from_json(F.get_json_object(json_col, "$.citations"), "array<map<string,string>>").alias("c"))
+    cites = F.from_json(F.get_json_object(json_col, "$.citations"), "array<map<string,string>>")
+    rows = T.once(facts_json, m=m, c=cites)
+    rows = rows.select(F.col(id_col), "m", "c", (F.size("c") if cited is None else cited).alias("cited"))
     get = lambda k: F.try_element_at("m", F.lit(k))
-    unknown = F.array_except(F.map_keys("m"), F.array(*map(F.lit, FACT_KEYS)))
-    unknown_c = F.array_distinct(F.flatten(F.transform("c", lambda c: F.array_except(F.map_keys(c), F.array(*map(F.lit, CITATION_KEYS))))))
-    rule = lambda name, bad, detail: F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.coalesce(detail, F.lit("")).alias("detail")))
+    unknown = _others(F.map_keys("m"), FACT_KEYS)
+    unknown_c = F.array_distinct(F.flatten(F.transform("c", lambda c: _others(F.map_keys(c), CITATION_KEYS))))
+    there = F.col("m").isNotNull()
     found = F.array_compact(
         F.array(
-            rule("unreadable", F.col("m").isNull(), F.lit("")),
-            rule("unknown_key", F.size(unknown) > 0, F.array_join(F.array_sort(unknown), ",")),
-            rule("unknown_citation_key", F.size(unknown_c) > 0, F.array_join(F.array_sort(unknown_c), ",")),
-            rule("fact_id", F.col("m").isNotNull() & ~F.coalesce(get("fact_id").rlike(r"^f[0-9]{4}$"), F.lit(False)), get("fact_id")),
-            rule("fact_type", F.col("m").isNotNull() & ~F.coalesce(get("fact_type").isin(*T.FACT_TYPES), F.lit(False)), get("fact_type")),
-            rule("strength", get("strength").isNotNull() & ~get("strength").isin(*T.STRENGTHS), get("strength")),
-            rule("statement", F.col("m").isNotNull() & (F.coalesce(F.length(get("statement")), F.lit(0)) == 0), F.lit("")),
-            rule("citations", F.col("m").isNotNull() & (F.coalesce(F.size("c"), F.lit(0)) <= 0), F.lit("")),
+            _rule("unreadable", F.col("m").isNull()),
+            _rule("unknown_key", F.size(unknown) > 0, F.array_join(unknown, ",")),
+            _rule("unknown_citation_key", F.size(unknown_c) > 0, F.array_join(F.array_sort(unknown_c), ",")),
+            _rule("fact_id", there & ~F.coalesce(get("fact_id").rlike(r"^f[0-9]{4}$"), F.lit(False)), get("fact_id")),
+            _rule("fact_type", there & ~F.coalesce(T.alias_fact_type(get("fact_type")).isin(*T.FACT_TYPES), F.lit(False)), get("fact_type")),
+            _rule("strength", get("strength").isNotNull() & ~get("strength").isin(*T.STRENGTHS), get("strength")),
+            _rule("requires_human_review", get("requires_human_review").isNotNull() & ~get("requires_human_review").isin("true", "false"), get("requires_human_review")),
+            _rule("statement", there & (F.coalesce(F.length(get("statement")), F.lit(0)) == 0)),
+            _rule("citations", there & (F.coalesce("cited", F.lit(0)) <= 0)),
         )
     )
     return rows.select(id_col, F.inline(found))
+
+
+def output_violations(outputs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, nth, rule, detail) of the facts in ``output``, and of outputs with other keys than the facts (nth null)."""
+    parsed = T.once(outputs, parsed=parse_output(F.col("output"))["json"])
+    extra = _others(F.json_object_keys("parsed"), ("extracted_facts",))
+    top = parsed.where(F.size(extra) > 0).select("doc_id", "chunk_id", F.lit(None).cast("int").alias("nth"), F.lit("unknown_key").alias("rule"), F.array_join(extra, ",").alias("detail"))
+    texts = F.from_json(F.get_json_object("parsed", "$.extracted_facts"), "array<string>")
+    facts = parsed.select("doc_id", "chunk_id", "line_start", "line_end", F.posexplode(texts).alias("nth", "json"))
+    raw = F.from_json(F.get_json_object("json", "$.citations"), "array<struct<chunk_id:string,line_start:string,line_end:string,quote:string>>")
+    valid = F.size(clamp_citations(raw, F.col("chunk_id"), F.col("line_start"), F.col("line_end")))
+    rows = facts.select(F.struct("doc_id", "chunk_id", "nth").alias("at"), "json", valid.alias("valid"))
+    found = schema_violations(rows, "at", "json", F.col("valid"))
+    return top.unionByName(found.select("at.doc_id", "at.chunk_id", "at.nth", "rule", "detail"))
+
+
+def fact_json(facts: DataFrame) -> DataFrame:
+    """(doc_id, fact_id, json) of facts as they are written out."""
+    body = F.struct(*[F.col(c) for c in FACT_KEYS if c in facts.columns])
+    return facts.select("doc_id", "fact_id", F.to_json(body).alias("json"))
+
+
+def round_trip_violations(facts: DataFrame) -> DataFrame:
+    """(fact, rule, detail): facts whose written form breaks the schema or reads back as another fact."""
+    rows = fact_json(facts).select(F.struct("doc_id", "fact_id").alias("fact"), "json")
+    kind = S.StructType([facts.schema[c] for c in FACT_KEYS if c in facts.columns])
+    again = F.to_json(F.from_json("json", kind))
+    changed = rows.where(~again.eqNullSafe(F.col("json"))).select("fact", F.lit("round_trip").alias("rule"), F.lit("").alias("detail"))
+    return schema_violations(rows, "fact", "json").unionByName(changed)

@@ -30,6 +30,7 @@ def node_citations(nodes: DataFrame) -> DataFrame:
 
 def audit_markdown(headers: DataFrame, inputs: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, markdown): the workflow with every node and the lines that it cites."""
+    nodes = workflow.tolerant_nodes(nodes)
     cites = node_citations(nodes)
     shown = trace.audit_snippets(cites.where(F.col("ord") <= SNIPPETS), lines)
     block = _lines(F.concat(F.lit("**["), F.col("ord").cast("string"), F.lit("]** "), T.format_citation(F.col("chunk_id"), F.col("line_start"), F.col("line_end"))), "", "```text", F.col("snippet"), "```", "")
@@ -60,6 +61,7 @@ def audit_markdown(headers: DataFrame, inputs: DataFrame, nodes: DataFrame, line
 def reading_markdown(headers: DataFrame, inputs: DataFrame, nodes: DataFrame, lines: DataFrame, title: str = "Protocol") -> DataFrame:
     """(doc_id, markdown): the questions of the decision chain in order with what follows from each answer, then the engine's view."""
     none = F.array().cast("array<string>")
+    nodes = workflow.tolerant_nodes(nodes)
     chain = workflow.decision_chain(headers, nodes)
     steps = workflow.next_steps(nodes)
     says = steps.groupBy("doc_id", "node_id").agg(F.max_by("says", F.when(F.col("branch"), 1)).alias("if_true"), F.max_by("says", F.when(~F.col("branch"), 1)).alias("if_false"))

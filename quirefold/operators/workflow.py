@@ -205,6 +205,65 @@ def conditions(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
     return named.join(inputs.select("doc_id", "input_id", "name"), ["doc_id", "input_id"], "left").select("doc_id", "node_id", "input_id", "expected", "name")
 
 
+def tolerant_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes under the names used here, whichever of their known names they bear: the first that is neither null nor empty counts."""
+    named = {"node_id": ("node_id", "id"), "node_type": ("kind", "node_type", "type"), "action": ("action", "text"), "label": ("label", "text")}
+    default = {"node_id": "unknown", "node_type": "unknown"}
+    have = {c: tuple(x for x in names if x in nodes.columns) for c, names in named.items()}
+    value = lambda c: F.coalesce(*[F.when(F.col(x) != "", F.col(x)) for x in have[c]], F.lit(default.get(c)).cast("string")).alias(c)
+    none = lambda c, kind: (F.col(c) if c in nodes.columns else F.lit(None)).cast(kind).alias(c)
+    texts = [none(c, "string") for c in ("condition", "true_next", "false_next")]
+    return nodes.select("doc_id", value("node_id"), value("node_type"), *texts, value("action"), value("label"), none("requires_human_review", "boolean"), none("citations", f"array<{CITATION}>"))
+
+
+# The keys that a workflow, its inputs and its nodes may have.
+WORKFLOW_KEYS = ("workflow_id", "guideline_id", "inputs", "nodes", "start_node_id", "requires_human_review", "warnings", "meta")
+INPUT_KEYS = ("input_id", "name", "type", "description", "choices")
+NODE_KEYS = {
+    "decision": ("node_id", "node_type", "condition", "true_next", "false_next", "citations"),
+    "action": ("node_id", "node_type", "action", "requires_human_review", "citations"),
+    "end": ("node_id", "node_type", "label"),
+}
+
+
+def workflow_json(headers: DataFrame, inputs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, json): each workflow as it is written out, inputs and nodes by id, each node with the keys of its kind."""
+    inside = inputs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in INPUT_KEYS if c in inputs.columns]))).alias("inputs"))
+    body = F.lit(None).cast("string")
+    for kind, keys in NODE_KEYS.items():
+        body = F.when(F.col("node_type") == kind, F.to_json(F.struct(*keys))).otherwise(body)
+    texts = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("node_id", body.alias("json")))).alias("n"))
+    rows = headers.join(inside, "doc_id", "left").join(texts, "doc_id", "left")
+    rest = F.to_json(F.struct(*[c for c in WORKFLOW_KEYS if c in rows.columns]))
+    listed = F.array_join(F.transform("n", lambda x: x["json"]), ",")
+    return rows.select("doc_id", F.concat(F.regexp_replace(rest, r"\}$", ""), F.lit(',"nodes":['), F.coalesce(listed, F.lit("")), F.lit("]}")).alias("json"))
+
+
+def key_violations(workflows: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
+    """(id, entity, rule, detail) of workflows as JSON: unreadable, without a node, or with keys that they, an input or a node may not have."""
+    maps = lambda path: F.from_json(F.get_json_object(json_col, path), "array<map<string,string>>")
+    others = lambda keys, known: F.array_join(F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)))), ",")
+    rows = T.once(workflows, m=F.from_json(F.col(json_col), "map<string,string>"), i=maps("$.inputs"), n=maps("$.nodes"))
+    get = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
+
+    def bad(entity: Column, rule: Column, detail: Column) -> Column:
+        return F.struct(entity.alias("entity"), rule.alias("rule"), detail.alias("detail"))
+
+    def of_node(x: Column) -> Column:
+        detail = F.lit("")
+        for kind, keys in NODE_KEYS.items():
+            detail = F.when(get(x, "node_type") == kind, others(F.map_keys(x), keys)).otherwise(detail)
+        return bad(get(x, "node_id"), F.lit("unknown_key"), detail)
+
+    top = bad(F.lit("workflow"), F.lit("unknown_key"), others(F.map_keys("m"), WORKFLOW_KEYS))
+    inputs = F.transform("i", lambda x: bad(get(x, "input_id"), F.lit("unknown_key"), others(F.map_keys(x), INPUT_KEYS)))
+    none = F.array().cast("array<struct<entity:string,rule:string,detail:string>>")
+    found = F.concat(F.array(top), F.coalesce(inputs, none), F.coalesce(F.transform("n", of_node), none))
+    wrong = F.filter(found, lambda x: x["detail"] != "")
+    state = F.when(F.col("m").isNull(), F.array(bad(F.lit("workflow"), F.lit("unreadable"), F.lit("")))).when(F.coalesce(F.size("n"), F.lit(0)) <= 0, F.concat(wrong, F.array(bad(F.lit("workflow"), F.lit("no_nodes"), F.lit(""))))).otherwise(wrong)
+    return rows.select(id_col, F.inline(state))
+
+
 # Shapes of ids and kinds of inputs.
 NODE_ID, INPUT_ID, INPUT_TYPES = {"decision": r"^d[0-9]{4}$", "action": r"^a[0-9]{4}$", "end": r"^e[0-9]{4}$"}, r"^in[0-9]{3}$", ("bool", "int", "float", "str", "choice")
 

@@ -88,12 +88,12 @@ def chunk_text(spark, d):
     return files.chunk_rows(P.chunks(spark, d))
 
 
-BLANK = [(1, "a\n\nb"), (2, ""), (3, " \n\t\n"), (4, None), (5, "x")]
-
-
-@query("select * from (values (2::bigint), (3::bigint), (4::bigint)) t(doc_id)")
+@query(f"with t as (select doc_id, case when doc_id % 5 = 0 then '' when doc_id % 7 = 0 then ' ' || chr(10) || chr(9) || chr(10) when doc_id % 11 = 0 then null else text end as text from documents) select doc_id from t where {S.strip(S.sub('text', T.LINE_END, ' '))} = '' or text is null")
 def empty_documents(spark, d):
-    return lines.empty_documents(values(spark, BLANK, "doc_id long, text string"))
+    """Documents of which some are emptied, blanked or without text by their numbers."""
+    n = F.col("doc_id")
+    text = F.when(n % 5 == 0, "").when(n % 7 == 0, " \n\t\n").when(n % 11 == 0, F.lit(None)).otherwise(F.col("text"))
+    return lines.empty_documents(P.documents(spark, d).withColumn("text", text))
 
 
 # Citations and the lines that they cite.
@@ -104,10 +104,10 @@ def trace_meta(spark, d):
     return trace.trace_meta(P.lines(spark, d), P.chunks(spark, d))
 
 
-@query(f"with recursive {S.CHUNKS} select doc_id, count(*)::bigint as num_chunks, min(line_start) as first_start, max(line_end) as last_end from chunks group by 1")
+@query(f"with recursive {S.CHUNKS}, a as (select doc_id, min(line_no) as min_line, max(line_no) as max_line, count(*) as num_lines from lines group by 1), n as (select doc_id, count(*) as num_chunks from chunks group by 1) select a.*, num_chunks, chunk_id, line_start, line_end from a join n on n.doc_id = a.doc_id join chunks c on c.doc_id = a.doc_id")
 def citation_index(spark, d):
-    bounds = F.map_values("chunk_bounds")
-    return trace.citation_index(P.lines(spark, d), P.chunks(spark, d)).where("num_chunks > 0").select("doc_id", F.size(bounds).cast("long").alias("num_chunks"), F.array_min(F.transform(bounds, lambda b: b["line_start"])).alias("first_start"), F.array_max(F.transform(bounds, lambda b: b["line_end"])).alias("last_end"))
+    index = trace.citation_index(P.lines(spark, d), P.chunks(spark, d))
+    return index.select(*[c for c in index.columns if c != "chunk_bounds"], F.explode("chunk_bounds").alias("chunk_id", "bounds")).select("*", "bounds.line_start", "bounds.line_end").drop("bounds")
 
 
 @query(f"""
@@ -457,7 +457,13 @@ def next_steps(spark, d):
     return workflow.next_steps(workflow.workflow_nodes(_ruled(spark, d)))
 
 
-@query(f"with {BUCKETS} select doc_id, unnest(['d0001', 'd0002', 'd0003']) as node_id, unnest(['in001', 'in002', 'in003']) as input_id, unnest(['Eligibility', 'Exclusions / Contraindications', 'Red Flags / Escalation']) as title, true as expected from k")
+_NAMES = "i(input_id, name, description) as (values " + ", ".join(f"({S.q(i)}, {S.q(n)}, {S.q(x)})" for i, n, _, x in workflow.INPUTS) + ")"
+
+
+@query(
+    f"with {BUCKETS}, n as ({_NODES}), {_NAMES} select doc_id, node_id, input_id, case when contains(lower(name), 'population') or contains(lower(name), 'eligible') then 'Eligibility' when contains(lower(name), 'exclusion') or contains(lower(name), 'contra') then 'Exclusions / Contraindications'"
+    " when contains(lower(name), 'red') or contains(lower(name), 'flag') or contains(lower(name), 'urgent') then 'Red Flags / Escalation' else 'Gate 1' end as title, ends_with(condition, 'true') as expected from n join i on starts_with(condition, input_id || ' ')"
+)
 def gate_titles(spark, d):
     rows = _ruled(spark, d)
     return workflow.conditions(workflow.workflow_nodes(rows), workflow.workflow_inputs(rows)).select("doc_id", "node_id", "input_id", T.gate_title(F.col("name"), F.lit(1)).alias("title"), "expected")
@@ -468,7 +474,26 @@ def _reports(spark, d):
     return workflow.workflow_headers(rows), workflow.workflow_inputs(rows), store(workflow.workflow_nodes(rows), "nodes"), P.lines(spark, d)
 
 
-@query()
+_NL = "chr(10)"
+_CITED = (
+    "c as (select doc_id, node_id, ls, le, row_number() over (partition by doc_id, node_id order by ls, le) as ord from ("
+    + " union all ".join(f"select doc_id, '{i}' as node_id, ls, le from b where bucket = '{k}'" for i, *_, k in (*workflow.DECISIONS, workflow.ACTIONS[0]))
+    + " union all select doc_id, 'a0002', ls, le from p where place <= 8))"
+)
+
+
+@query(f"""with {BUCKETS}, n as ({_NODES}), {_NAMES}, {_CITED}, cn as (select doc_id, node_id, count(*) as n from c group by 1, 2),
+sn as (select c.doc_id, node_id, ord, ls, le, string_agg(printf('%04d', line_no) || ': ' || text, {_NL} order by line_no) as t from c join lines l on l.doc_id = c.doc_id and l.line_no between ls and le where ord <= {render.SNIPPETS} group by 1, 2, 3, 4, 5),
+bl as (select doc_id, node_id, string_agg('**[' || ord || ']** `c0001:' || ls || '-' || le || '`' || {_NL} || {_NL} || '```text' || {_NL} || '[c0001:' || ls || '-' || le || ']' || {_NL} || t || {_NL} || '```' || {_NL}, {_NL} order by ord) as blocks from sn group by 1, 2),
+ct as (select n.*, case when cn.n is null then '_No citations._' else '_Citations: ' || cn.n || '_' || {_NL} || {_NL} || blocks || case when cn.n > {render.SNIPPETS} then {_NL} || '_Showing first {render.SNIPPETS} citations (deterministic cap). Full citations remain in JSON._' || {_NL} else '' end end as cited
+  from n left join cn on cn.doc_id = n.doc_id and cn.node_id = n.node_id left join bl on bl.doc_id = n.doc_id and bl.node_id = n.node_id),
+parts as (select doc_id, string_agg('### `' || node_id || '` (' || node_type || ')' || {_NL} || {_NL} || case node_type when 'decision' then '- condition: `' || condition || '`' || {_NL} || '- true_next: `' || true_next || '`' || {_NL} || '- false_next: `' || false_next || '`' || {_NL} || {_NL} || cited
+  when 'action' then '- action: ' || text || {_NL} || '- requires_human_review: `True`' || {_NL} || {_NL} || cited else '- label: ' || text || {_NL} || {_NL} || '_No citations._' end || {_NL}, {_NL} order by node_id) as body from ct group by 1),
+w as (select doc_id, array_to_string(list_filter([{', '.join(f"case when n_{k} = 0 then '- ' || {S.q(t)} end" for k, t in workflow.ABSENT)}], lambda x: x is not null), {_NL}) as w from k),
+ins as (select string_agg('- **' || input_id || '** `' || name || '` (bool): ' || description, {_NL} order by input_id) as ins from i)
+select w.doc_id, '# Workflow Audit Preview — `doc' || w.doc_id || '__v1`' || {_NL} || {_NL} || '- guideline_id: `doc' || w.doc_id || '`' || {_NL} || '- start_node_id: `d0001`' || {_NL} || '- requires_human_review: `True`' || {_NL} || {_NL}
+  || case when w <> '' then '## Warnings' || {_NL} || {_NL} || w || {_NL} || {_NL} else '' end || '## Inputs' || {_NL} || {_NL} || ins || {_NL} || {_NL} || '## Nodes' || {_NL} || {_NL} || body as markdown
+from w join parts on parts.doc_id = w.doc_id cross join ins""")
 def audit_markdown(spark, d):
     return render.audit_markdown(*_reports(spark, d))
 
@@ -554,11 +579,10 @@ def artifact_hash(spark, d):
     return P.documents(spark, d).where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("select count(*)::bigint as files, max(sha256(text)) as last from documents where text is not null")
+@query("select doc_id::varchar as path, sha256(text) as sha256 from documents where text is not null")
 def hash_manifest(spark, d):
     hashes = P.documents(spark, d).where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
-    m = files.manifest(hashes)
-    return m.select(F.size("sha256").cast("long").alias("files"), F.array_max(F.map_values("sha256")).alias("last"))
+    return files.manifest(hashes).select(F.explode("sha256").alias("path", "sha256"))
 
 
 # Extraction.
@@ -571,19 +595,29 @@ def rule_extractor():
 
     def extract(prompt: str) -> str:
         found = [(int(m[1]), m[2]) for m in re.finditer(r"(?m)^(\d+)\. (.*(?:tion|the|ung|que).*)$", prompt)]
-        out = [{"fact_type": "warning" if n % 2 else "other", "statement": t, "citations": [{"line_start": n, "line_end": n + 2}]} for n, t in found]
+        out = [{"fact_id": f"f{i:04d}", "fact_type": "warning" if n % 2 else "other", "statement": t, "citations": [{"line_start": n, "line_end": n + 2}]} for i, (n, t) in enumerate(found, 1)]
         text = json.dumps({"extracted_facts": out})
         return text if len(out) % 2 or not out else text[:-2] + ', {"fact_type": "ot'
 
     return extract
 
 
-@query()
+@query(
+    f"""with recursive {S.CHUNKS}, f as (select l.doc_id, l.line_no, l.text, c.chunk_id, c.line_end as le, row_number() over (partition by l.doc_id order by l.line_no) as ord
+  from lines l join chunks c on c.doc_id = l.doc_id and l.line_no between c.line_start and c.line_end where regexp_matches(l.text, 'tion|the|ung|que'))
+select doc_id, ord::int as ord, printf('f%04d', ord) as fact_id, case when line_no % 2 = 1 then 'red_flag' else 'other' end as fact_type, text as statement, 'unclear' as strength, chunk_id, line_no as line_start, least(line_no + 2, le) as line_end from f"""
+)
 def extracted_facts(spark, d):
-    return extract.facts_of(extract.run_extractor(P.chunks(spark, d), rule_extractor))
+    got = extract.facts_of(extract.run_extractor(P.chunks(spark, d), rule_extractor, pause=0.0))
+    return got.select("doc_id", "ord", "fact_id", "fact_type", "statement", "strength", F.inline("citations")).drop("quote")
 
 
-@query()
+_WHOLE = """'{"extracted_facts": [' || f || ', ' || f || ', ' || f || ']}'"""
+
+
+@query(f"""with w as (select doc_id, '{{"fact_type": "other", "statement": "s' || doc_id || ' {{\\"x\\"}}]"}}' as f from documents), t as (select doc_id, f, {_WHOLE} as whole, doc_id % 90 as cut from w),
+n as (select *, case when cut = 0 then 3 else floor((length(whole) - cut - length('{{"extracted_facts": [') + 2) / (length(f) + 2)) end::int as n from t)
+select doc_id, case when n > 0 then '{{"extracted_facts": [' || array_to_string(list_transform(range(n), lambda i: f), ', ') || ']}}' end as json, case when cut = 0 then 'whole' when n > 0 then 'recovered' else 'invalid' end as how from n""")
 def json_recover(spark, d):
     """Output cut off at a place that the document's number gives."""
     fact = F.format_string('{"fact_type": "other", "statement": "s%d {\\"x\\"}]"}', F.col("doc_id"))
@@ -592,17 +626,31 @@ def json_recover(spark, d):
     return P.documents(spark, d).select("doc_id", extract.parse_output(cut).alias("p")).select("doc_id", "p.json", "p.how")
 
 
-JSON_FACTS = [
-    (1, '{"fact_id": "f0001", "fact_type": "other", "statement": "x", "citations": [{"chunk_id": "c0001", "line_start": 1, "line_end": 2}]}'),
-    (2, '{"fact_id": "f1", "fact_type": "oddity", "statement": "", "citations": [], "extra": 1, "also": 2}'),
-    (3, "not json"),
-    (4, '{"fact_id": "f0004", "fact_type": "action", "statement": "x", "strength": "strong", "citations": [{"chunk_id": "c1", "page": 3}]}'),
-]
-
-
-@query("""select * from (values (2, 'unknown_key', 'also,extra'), (2, 'fact_id', 'f1'), (2, 'fact_type', 'oddity'), (2, 'statement', ''), (2, 'citations', ''), (3, 'unreadable', ''), (4, 'unknown_citation_key', 'page'), (4, 'strength', 'strong')) t(id, rule, detail)""")
+@query("""with f as (select event_id as id, event_id % 7 as a, event_id % 5 as b, event_id % 3 as c, json_keys(props) as k from events),
+r as (select id, unnest([
+  {'rule': 'unknown_key', 'detail': array_to_string(list_sort(list_filter(k, lambda x: x <> 'k')), ',')},
+  {'rule': 'fact_id', 'detail': case when a = 0 then 'f' || (id % 1000) end}, {'rule': 'fact_type', 'detail': case when b = 0 then 'oddity' end},
+  {'rule': 'strength', 'detail': case when c = 0 then 'strong' end}, {'rule': 'statement', 'detail': case when a = 1 then '-' end},
+  {'rule': 'citations', 'detail': case when b = 1 then '-' end}, {'rule': 'unknown_citation_key', 'detail': case when b = 2 then 'page' end}]) as x from f)
+select id, x.rule as rule, case when x.detail = '-' then '' else x.detail end as detail from r where coalesce(x.detail, '') <> ''""")
 def schema_forbid_extra(spark, d):
-    return extract.schema_violations(values(spark, JSON_FACTS, "id int, j string"), "id", "j")
+    """Facts whose keys and faults come from the events: other keys than ``k`` are unknown ones."""
+    n = F.col("event_id")
+    body = F.from_json("props", "map<string,string>")
+    given = F.map_from_entries(
+        F.array(
+            *[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in {
+                "fact_id": F.when(n % 7 == 0, F.concat(F.lit("f"), (n % 1000).cast("string"))).otherwise("f0001"), "fact_type": F.when(n % 5 == 0, "oddity").otherwise("Warning"),
+                "strength": F.when(n % 3 == 0, "strong").otherwise("may"), "statement": F.when(n % 7 == 1, "").otherwise("x"),
+            }.items()]
+        )
+    )
+    cites = F.when(n % 5 == 1, "[]").when(n % 5 == 2, '[{"chunk_id": "c1", "page": 3}]').otherwise('[{"chunk_id": "c0001", "line_start": 1, "line_end": 2}]')
+    extra = F.map_filter(body, lambda k, _: k != "k")
+    whole = F.to_json(F.map_concat(given, extra))
+    text = F.concat(F.regexp_replace(whole, r"\}$", ""), F.lit(',"citations":'), cites, F.lit("}"))
+    rows = files.spread(spark.read.parquet(f"{d}/events.parquet")).select("event_id", text.alias("json"))
+    return extract.schema_violations(rows.withColumnRenamed("event_id", "id"), "id", "json")
 
 
 @query("select event_id, len(list_filter(json_keys(props), lambda k: k not in ('k', 'page')))::bigint as unknown from events")

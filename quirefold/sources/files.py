@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+import io
+import json
 import platform
 import sys
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +48,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_file(df: DataFrame, path: str) -> None:
+    """One JSON array, indented by two, in UTF-8 and ended by a line feed, at a path of the driver's machine; for exports that people
+    read. Rows pass one by one, so the driver holds no more than a partition."""
+    file = Path(path)
+    file.parent.mkdir(parents=True, exist_ok=True)
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()
+    with file.open("w", encoding="utf-8") as out:
+        lead = "["
+        for (row,) in rows:
+            text = json.dumps(json.loads(row), indent=2, ensure_ascii=False).replace("\n", "\n  ")
+            out.write(f"{lead}\n  {text}")
+            lead = ","
+        out.write("[]\n" if lead == "[" else "\n]\n")
+
+
 def write_texts(df: DataFrame, path: str, key_col: str, text_col: str) -> None:
     """One folder of text for each value of the key."""
     df.select(F.col(key_col).alias("key"), F.col(text_col).alias("value")).write.mode("overwrite").partitionBy("key").text(path, lineSep="\n")
@@ -58,21 +77,25 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "chunk_id", "line_start", "line_end", "text")
 
 
-def _pdf_text(data: bytes) -> str | None:
-    import io
-
-    try:
-        import pdfplumber
-
-        with pdfplumber.open(io.BytesIO(data)) as pdf:
-            return "\n".join(page.extract_text() or "" for page in pdf.pages)
-    except ImportError:
-        pass
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("reading PDF needs pdfplumber or pypdf on every machine") from e
-    return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
+#: PDF backends in the order they are tried: module, and how its pages are opened.
+PDF_BACKENDS = (("pdfplumber", lambda module, file: module.open(file).pages), ("pypdf", lambda module, file: module.PdfReader(file).pages))
+
+
+def _pdf_text(data: bytes) -> str:
+    """The text of the first backend that finds any; empty if none does."""
+    text, found = "", False
+    for name, pages in PDF_BACKENDS:
+        try:
+            module = importlib.import_module(name)
+        except ImportError:
+            continue
+        found = True
+        text = "\n".join(t for page in pages(module, io.BytesIO(data)) if (t := page.extract_text() or "").strip())
+        if text:
+            return text
+    if not found:
+        raise RuntimeError("reading PDF needs pdfplumber or pypdf on every machine")
+    return text
 
 
 @F.arrow_udf(T.StringType())
