@@ -14,7 +14,8 @@ Only windows that pass a Bloom filter of the benchmark's (of bounded size) leave
 on both sides and Spark picks its kind by size.
 
 Defined results: null and empty texts on either side match nothing; an item shorter than a window is one window of all its
-tokens. Repeated documents are each contaminated; repeated items match alike. Whole texts are processed.
+tokens. Rows of one id and text are one document, with one row for
+each item it holds; repeated items match alike. Columns beside id and text are not read. Whole texts are processed.
 """
 
 from __future__ import annotations
