@@ -31,6 +31,8 @@ from quirefold.llm.words import Words, batches_of, mix, span_hash
 SHINGLE = 5
 #: Entries of a sieve range, and shingles of a chunk of a block: what a task holds.
 RANGE_ENTRIES, CHUNK_TOKENS = 1 << 20, 2 << 20
+#: A token is hot from this many sets on, and from this share of all of them on (one in ...).
+HOT_AT, HOT_SHARE = 4096, 128
 #: Sets of a leaf, and children of a node.
 LEAF, FAN = 16, 8
 LEADERS = 12
@@ -278,10 +280,20 @@ def _frequency(token: np.ndarray) -> np.ndarray:
 
 
 _COUNTED = np.dtype([("name", np.uint64), ("token", np.uint64), ("f", np.uint32)])
-ENTRY = "range int, names binary, entries binary"
+ENTRY, COUNTED = "range int, names binary, entries binary", "part int, counted binary"
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, range_entries: int = RANGE_ENTRIES, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def _by_part(rec: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Records of sets' tokens, packed by part of the sets' names."""
+    part = (rec["name"] % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rec = rec[order]
+    there, first = np.unique(part[order], return_index=True)
+    cut = zip(first.tolist(), np.append(first[1:], len(rec)).tolist())
+    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([rec[a:b].tobytes() for a, b in cut], pa.binary())], ["part", "counted"])
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, range_entries: int = RANGE_ENTRIES, chunk_tokens: int = CHUNK_TOKENS, hot_at: int = HOT_AT) -> DataFrame:
     """(id, key, n_shingles, component_id, component) of every row of ``docs``.
 
     ``key``: a hash of id and text; ``component``: a name of the component, null for the empty set.
@@ -301,23 +313,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_tokens = int(classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     ranges = max(width, -(-n_tokens * 2 // 5 // range_entries))
 
-    # 1. The sieve.
+    # 1. The sieve. Shingles that several sets of a slice have are known as shared there: their sets are counted at once and only
+    # one of them goes to the shingle's range, so a range holds a common shingle once a slice. A set met in several slices may be
+    # counted more than once, which lets more through and loses none.
     def offer(batches):
         for b in batches:
             for part in batches_of(b, 0):
                 s = Sets(part.column(0), shingle)
                 i = s.once()
                 take = _spread(np.minimum(sieve_size(s.n[i]), s.n[i]), s.offset[i])
-                for row in _ranged(s.token[take], s.doc[take], s.name, ranges):
+                token, owner = s.token[take], s.doc[take]
+                order = np.argsort(token, kind="stable")
+                token, owner = token[order], owner[order]
+                several = _frequency(token) > 1
+                first = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else several
+                known, c = np.unique(owner[several], return_counts=True)
+                rows = list(_ranged(token[first], owner[first], s.name, ranges))
+                if len(known):
+                    rows.append((int(s.name[known[0]] % np.uint64(ranges)), np.stack([s.name[known], c.astype(np.uint64)], 1).tobytes(), None))
+                for row in rows:
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], ["range", "names", "entries"])
 
     def shared(table: pa.Table) -> pa.Table:
         forget()
-        token, name = _entries(table)
+        known = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.filter(table.column("entries").is_null()).column("names").to_pylist()]
+        token, name = _entries(table.filter(table.column("entries").is_valid()))
         who, c = np.unique(name[_frequency(token) > 1], return_counts=True)
-        out = pa.table({"name": _i64(who), "c": _i64(c)})
+        pairs = np.concatenate([np.stack([who, c.astype(np.uint64)], 1), *known])
+        out = pa.table({"name": _i64(pairs[:, 0].copy()), "c": _i64(pairs[:, 1].copy())})
         release()
-        return out
+        return small_tables(out)
 
     counts = texts.mapInArrow(tidy(offer), ENTRY).groupBy("range").applyInArrow(shared, "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
     n = F.col("n")
@@ -341,15 +366,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     few = max(1, -(-total // range_entries))
 
-    # 3. The rarest tokens of each set: tokens meet by range to be counted, and their counts meet again by set.
-    def spell(batches):
+    # 3. The rarest tokens of each set: tokens meet by range to be counted, and their counts meet again by set. Tokens of very many
+    # sets are no rare ones; they come last in everybody's order, uncounted, and go to no range.
+    def slices(batches):
+        """Names, tokens and the place of each token's set, of some sets at a time."""
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                token = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64)
                 size = part.column(2).to_numpy()
-                for row in _ranged(token, np.repeat(np.arange(len(size)), size), part.column(0).to_numpy().view(np.uint64), few):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], ["range", "names", "entries"])
+                yield part.column(0).to_numpy().view(np.uint64), np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64), np.repeat(np.arange(len(size)), size)
+
+    def often(batches):
+        for names, token, _ in slices(batches):
+            token, c = np.unique(token, return_counts=True)
+            keep = c >= max(2, len(names) // 64)
+            yield pa.RecordBatch.from_arrays([_i64(token[keep]), _i64(c[keep])], ["token", "c"])
+
+    triples = sets.select("name", "tokens", "n")
+    # At most HOT_SHARE times the mean size of a set, as each is in that share of all sets.
+    most = max(hot_at, n_survivors // HOT_SHARE)
+    hot_rows = triples.mapInArrow(tidy(often), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= most).select("token").toArrow()
+    hot = spark.sparkContext.broadcast(np.sort(hot_rows.column("token").to_numpy().view(np.uint64)) if hot_rows.num_rows else np.zeros(0, np.uint64))
+
+    def spell(batches):
+        for names, token, owner in slices(batches):
+            cold = ~np.isin(token, hot.value)
+            for row in _ranged(token[cold], owner[cold], names, few):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], ["range", "names", "entries"])
+
+    def spell_hot(batches):
+        for names, token, owner in slices(batches):
+            k = np.flatnonzero(np.isin(token, hot.value))
+            rec = np.zeros(len(k), _COUNTED)
+            rec["name"], rec["token"], rec["f"] = names[owner[k]], token[k], np.iinfo(np.uint32).max
+            yield _by_part(rec, few)
 
     def common(table: pa.Table) -> pa.Table:
         """Tokens that several sets have, with in how many sets they are, packed by part of the sets' names."""
@@ -359,11 +409,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         keep = np.flatnonzero(f > 1)
         rec = np.zeros(len(keep), _COUNTED)
         rec["name"], rec["token"], rec["f"] = name[keep], token[keep], f[keep]
-        part = (rec["name"] % np.uint64(few)).astype(np.int64)
-        rec = rec[np.argsort(part, kind="stable")]
-        parts, first = np.unique(np.sort(part), return_index=True)
-        cut = zip(first.tolist(), np.append(first[1:], len(rec)).tolist())
-        out = pa.table({"part": pa.array(parts, pa.int32()), "counted": pa.array([rec[a:b].tobytes() for a, b in cut], pa.binary())})
+        out = pa.Table.from_batches([_by_part(rec, few)])
         release()
         return small_tables(out)
 
@@ -381,7 +427,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         release()
         return out
 
-    met = sets.select("name", "tokens", "n").mapInArrow(tidy(spell), ENTRY).groupBy("range").applyInArrow(common, "part int, counted binary")
+    met = triples.mapInArrow(tidy(spell), ENTRY).groupBy("range").applyInArrow(common, COUNTED)
+    if len(hot.value):
+        met = met.unionByName(triples.mapInArrow(tidy(spell_hot), COUNTED))
     part = F.pmod(F.conv(F.hex("name"), 16, 10).cast("decimal(20,0)"), F.lit(few)).cast("int")
     sized = sets.select("name", "n", part.alias("part"))
     index = sized.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(rarest, "name long, token long")

@@ -174,7 +174,7 @@ def near_copies(rng, n, low, high, rate):
     return out + [(n + 1, None), (n + 2, ""), (n + 3, " \n"), out[0], (None, out[1][1]), (None, "lone null row here with words enough"), (5, "other text of id five one two three"), (n + 4, "a b"), (n + 5, "A\tB"), (n + 6, "a b c d"), (n + 7, "a b c d e"), (n + 8, "a b c d e a b c d e a b c d e")]
 
 
-@pytest.mark.parametrize("shape,limits", [((250, 5, 90, 0.05), {}), ((250, 20, 120, 0.04), {"chunk_tokens": 1500, "range_entries": 500})])
+@pytest.mark.parametrize("shape,limits", [((250, 5, 90, 0.05), {}), ((250, 20, 120, 0.04), {"chunk_tokens": 1500, "range_entries": 500}), ((250, 20, 120, 0.04), {"hot_at": 6}), ((250, 10, 60, 0.05), {"hot_at": 2, "chunk_tokens": 900, "range_entries": 300})])
 def test_jaccard_join(spark, shape, limits):
     rows = near_copies(random.Random(shape[0] + len(limits)), *shape)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, name long")
@@ -191,6 +191,24 @@ def test_jaccard_join(spark, shape, limits):
         assert {r.doc_id for r in kept.collect() if r.doc_id is not None and shingles(r.text)} == {c for c in full if c is not None}
 
 
+def test_jaccard_join_of_one_block_of_many_groups(spark):
+    # All texts share a passage, so all are one block; it is cut into chunks, and links join neighbours of several sizes.
+    rng = random.Random(21)
+    common = " ".join(f"c{i}" for i in range(14))
+    bases = [[f"g{g}w{rng.randint(0, 500)}" for _ in range(rng.randint(20, 60))] for g in range(25)]
+    rows = []
+    for i in range(220):
+        b = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 2)):
+            b[rng.randrange(len(b))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, common + " " + " ".join(b[: len(b) - rng.randint(0, 3)])))
+    rows.append((500, " ".join(f"long{i}" for i in range(60_000))))
+    rows.append((501, rows[-1][1] + " and a bit more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_components(df, chunk_tokens=1200, range_entries=400, hot_at=20).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(brute_jaccard(rows))
+
+
 def test_jaccard_join_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(df).count() == 0
