@@ -75,6 +75,24 @@ def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * (x @ p.T) + (p * p).sum(1)[None, :], 0))
 
 
+def _blocks(homes: dict[int, int], apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell the first block of its queries and how many it has. Cells follow each other from one to the nearest that is
+    left, and share a block while their queries fit; a cell of more than ``most`` queries has blocks of its own."""
+    first, n_blocks = np.zeros(len(apart), np.int64), np.ones(len(apart), np.int64)
+    left, at, block, filled = set(homes), min(homes), -1, most
+    while left:
+        left.remove(at)
+        if homes[at] > most:
+            n_blocks[at] = -(-homes[at] // most)
+            first[at], block, filled = block + 1, block + n_blocks[at], most
+        else:
+            if filled + homes[at] > most:
+                block, filled = block + 1, 0
+            first[at], filled = block, filled + homes[at]
+        at = min(left, key=lambda c: (apart[at, c], c), default=None)
+    return first, n_blocks
+
+
 def top_k(data: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, chunk_rows: int = CHUNK_ROWS, block_queries: int = BLOCK_QUERIES, pivots: tuple[int, int] = PIVOTS) -> DataFrame:
     """(query_id, rank, id, score): the k rows of ``data`` with the highest integer inner product for each row of ``queries``."""
     spark = data.sparkSession
@@ -121,15 +139,12 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
                 near = _distances(_matrix(part.column(1)), pivot).argmin(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near.astype(np.int32))], ["id", "v", "home"])
 
-    # Queries of one cell need much the same cells, so they share blocks.
+    # Queries of one cell need much the same cells, so they share blocks, together with those of cells nearby while there is room.
     asked = store(integer_vectors(queries, id_col, vec_col, scale).groupBy("id").agg(F.max("v").alias("v")).mapInArrow(home, "id long, v array<long>, home int"), "knn-asked")
-    homes = {r["home"]: -(-r["count"] // block_queries) for r in asked.groupBy("home").count().collect()}  # one row a pivot
+    homes = {r["home"]: r["count"] for r in asked.groupBy("home").count().collect()}  # one row a pivot
     if not homes:
         return empty
-    n_blocks, first_block = np.ones(n_pivots, np.int64), np.zeros(n_pivots, np.int64)
-    for c, m in homes.items():
-        n_blocks[c] = m
-    first_block[1:] = np.cumsum(n_blocks)[:-1]
+    first_block, n_blocks = _blocks(homes, _distances(pivot, pivot), block_queries)
 
     def route(batches):
         """One row for each cell chunk and query block, with the queries that need it packed together."""

@@ -56,6 +56,14 @@ def test_knn_with_many_rows_of_the_querys_own_id(spark, others):
         assert {q: sorted(v) for q, v in got.items()} == brute_top(rows, 10)
 
 
+def test_blocks_of_queries():
+    apart = np.abs(np.arange(6)[:, None] - np.arange(6)[None]).astype(float)
+    first, n = knn._blocks({0: 3, 1: 4, 2: 25, 4: 5, 5: 5}, apart, 10)
+    assert n.tolist() == [1, 1, 3, 1, 1, 1]
+    assert first[0] == first[1] == 0 and first[2] == 1 and first[4] == first[5] == 4
+    assert knn._blocks({3: 2}, apart, 10)[0][3] == 0
+
+
 def test_language_of_held_out_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     train, held = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
