@@ -8,7 +8,8 @@ The filter's size is bounded (see ``bloom``), so sending it to every executor is
 false positives, which the exact join still removes.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule, has no canonical form and is
-allowed. Repeated rows are judged each on their own; repeated list entries count once.
+allowed. Repeated rows are judged each on their own; repeated list entries count once. Of equally long rules that fit, the longer host
+wins, then block. An empty table gives no rows, an empty list blocks nothing by itself. URLs of any length are judged whole.
 Columns beside the id and the URL are not read.
 """
 
