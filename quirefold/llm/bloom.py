@@ -1,7 +1,8 @@
 """Blocked Bloom filters of bounded size.
 
-A filter has at most ``MAX_BLOCKS`` blocks of 512 bits, so 4 MB; with more keys than it is made for it only lets more
-through. A key sets one bit in each of the eight words of one block.
+A filter has at most ``MAX_BLOCKS`` blocks of 512 bits, so 16 MB, and holds 8 million keys well; with more it lets more
+through, and beyond ``WORTH`` keys none is built and every row counts as possible. A key sets one bit in each of the eight
+words of one block; of more than 2^16 blocks the number shares bits with the place in the first word, which then tells less.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS = 1 << 16
+MAX_BLOCKS = 1 << 18
 BITS_A_KEY = 16
+#: Of more keys a full filter has under four bits for each, and lets a third of all other rows through.
+WORTH = MAX_BLOCKS * 512 // 4
 
 
 def n_blocks(n_keys: int) -> int:
@@ -34,6 +37,8 @@ def build(keys: DataFrame, h: Column, blocks: int) -> DataFrame:
 
 def collect(keys: DataFrame, h: Column, n_keys: int) -> np.ndarray:
     """The filter of ``n_keys`` hashes as an array of blocks x 8 words."""
+    if n_keys > WORTH:
+        return np.full((1, 8), np.iinfo(np.uint64).max)
     blocks = n_blocks(n_keys)
     out = np.zeros((blocks, 8), np.uint64)
     got = build(keys, h, blocks).toArrow()
@@ -54,6 +59,8 @@ def test(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def probe(rows: DataFrame, h: Column, keys: DataFrame, key: str, n_keys: int, into: str) -> DataFrame:
     """``rows`` with a boolean column: whether ``keys`` may hold the hash. The filter sent to all has at most MAX_BLOCKS rows."""
+    if n_keys > WORTH:
+        return rows.withColumn(into, F.lit(True))
     blocks = n_blocks(n_keys)
     filter_ = build(keys, F.col(key), blocks).select(F.struct("bloom_block", *[f"w{i}" for i in range(8)]).alias("__bloom"))
     block, bits = place(h, blocks)
@@ -69,6 +76,8 @@ def drop_keys(rows: DataFrame, h: Column, keys: DataFrame, key: str) -> DataFram
     n = keys.count()
     if not n:
         return rows
+    if n > WORTH:
+        return rows.withColumn("__key", h).join(keys.select(F.col(key).alias("__key")), "__key", "left_anti").select(*rows.columns)
     marked = probe(rows, h, keys, key, n, "__maybe")
     sure = marked.where("not __maybe").drop("__maybe")
     rest = marked.where("__maybe").withColumn("__key", h).join(keys.select(F.col(key).alias("__key")), "__key", "left_anti").select(*rows.columns)

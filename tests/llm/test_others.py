@@ -204,6 +204,26 @@ def test_bloom_filter(spark):
     assert bloom.drop_keys(rows, F.xxhash64("id"), keys.limit(0), "h").count() == 6000
 
 
+@pytest.mark.parametrize("n_keys", [3000, 3_000_000, bloom.WORTH + 1])
+def test_bloom_filters_of_every_size_lose_no_key(spark, n_keys):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    sieve = bloom.collect(keys, F.col("h"), n_keys)
+    assert sieve.shape == ({3000: 1 << 7, 3_000_000: 1 << 17}.get(n_keys, 1), 8)
+    rows = spark.range(6000)
+    got = bloom.probe(rows, F.xxhash64("id"), keys, "h", n_keys, "maybe").withColumn("h", F.xxhash64("id")).toPandas()
+    assert got[got.id < 3000].maybe.all() and len(got) == 6000
+    assert (bloom.test(sieve, got.h.to_numpy().view(np.uint64)) == got.maybe).all()
+    assert got[got.id >= 3000].maybe.mean() < 0.02 or n_keys > bloom.WORTH
+
+
+def test_keys_go_without_a_filter_too(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "WORTH", 100)
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(6000).withColumn("w0", F.lit(1))
+    left = bloom.drop_keys(rows, F.xxhash64("id"), keys, "h")
+    assert left.columns == ["id", "w0"] and sorted(r.id for r in left.collect()) == list(range(3000, 6000))
+
+
 def test_urls(spark):
     urls = ["https://A.Example.COM/en/71?x#y", "http://b.com/en/1", "ftp://example.com/en/8", "x://com/en/", "https://b.net/de/8", "https://q.example.net/de/81", "http://notcom/en/", "http://a.org/es/x", None, "no scheme", "http://h", "a://b://c/d", "http://list.ed/p/?utm_source=q&b=2&a=1#f", "https://www.list.ed/p?a=1&b=2", "http://list.ed/p?a=1", ""]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(12, urls[12], "h")], "page_id long, url string, host string")
