@@ -167,3 +167,53 @@ def test_workflow_of_no_red_flags(spark):
     assert len(heads.first().warnings) == 1
     assert workflow.graph_violations(heads, nodes).count() == 0
     assert [r.node_id for r in workflow.decision_chain(heads, nodes).orderBy("step").collect()] == ["d0001", "d0002", "d0003"]
+
+
+def _tangled(rng, docs=6):
+    """Facts and lines in which statements stand within lines, over lines, nowhere, twice; with odd spans, near copies and junk."""
+    words = ["alpha", "beta", "Gamma", "delta:", "épsilon", "•", "zeta", "eta", "theta,", "iota"]
+    texts, rows = [], []
+    for d in range(docs):
+        own = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))]
+        texts += [(d, n, t) for n, t in enumerate(own, 1)]
+        for k in range(1, rng.randint(2, 40)):
+            at = rng.randrange(len(own))
+            said = " ".join(own[at : at + rng.randint(1, 5)])
+            said = said[rng.randrange(3) :] if rng.random() < 0.7 else said + rng.choice([" kappa", "::", "x", " lambda mu nu"])
+            spans = [(rng.choice(["c0001", "c0002"]), rng.randint(-1, len(own) + 2), rng.randint(-1, len(own) + 2), rng.choice([None, "q"])) for _ in range(rng.randint(0, 3))]
+            rows.append((d, *fact(k, rng.choice(["other", "action", "threshold"]), said, citations=spans, strength=rng.choice(["must", "may"]))[1:]))
+    return rows, texts
+
+
+def test_canonical_facts_against_single_steps(spark):
+    rows, texts = _tangled(random.Random(11))
+    df, text = spark.createDataFrame(rows, facts.FACT_SCHEMA), spark.createDataFrame(texts, "doc_id long, line_no long, text string")
+    config = facts.NormalizeConfig(fuzzy_threshold=0.8)
+    ruled = facts.normalize_facts(df, config)
+    merged = facts.merge_fuzzy(facts.merge_exact(ruled.where("not junk").drop("junk")), config)
+    tight = facts.tighten_citations(merged, text).collect()
+    clean, counts = facts.canonical_facts(df, text, config)
+    counts = {r.doc_id: r for r in counts.collect()}
+    want = {(r.doc_id, r.ord): r for r in merged.collect()}
+    for r in want.values():
+        r_cites = sorted((t.nth, t.chunk_id, t.line_start, t.line_end, t.quote) for t in tight if (t.doc_id, t.ord) == (r.doc_id, r.ord))
+        want[r.doc_id, r.ord] = (r.fact_type, r.statement, r.strength, [c[1:] for c in r_cites])
+    got = {(r.doc_id, r.ord): (r.fact_type, r.statement, r.strength, [tuple(c) for c in r.citations]) for r in clean.collect()}
+    assert got == want
+    assert {d: c.tightened for d, c in counts.items()} == {d: sum(t.moved for t in tight if t.doc_id == d) for d in counts}
+    assert sum(c.tightened for c in counts.values()) > 20 and sum(c.fuzzy_merges for c in counts.values()) > 5
+    junk = dict(ruled.where("junk").groupBy("doc_id").count().collect())
+    for d, c in counts.items():
+        assert c.dropped == junk.get(d, 0)
+        assert c.dropped + c.exact_merges + c.fuzzy_merges + sum(k[0] == d for k in want) == sum(r[0] == d for r in rows)
+
+
+def test_clean_fact_counts_deals_documents_only(spark, small):
+    """Neither facts nor cited lines are shuffled, and no table is written: that took more than four times the input on disk."""
+    from quirefold.plans import catalog
+
+    df = catalog.QUERIES["clean_fact_counts"](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange" in x and "BroadcastExchange" not in x]
+    assert dealt and not [x for x in dealt if "hashpartitioning(doc_id#" not in x or "REPARTITION_BY_" not in x]
+    assert all(x.endswith("documents.parquet") or "/documents.parquet/" in x for x in df.inputFiles())
